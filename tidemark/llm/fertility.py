@@ -27,7 +27,7 @@ from tidemark.llm import byte_bpe, common
 WORD, SYMBOLS = re.compile(r"[^\x20\x09-\x0D]+"), "#*$%&|<>"
 #: Half widths of the bands in median absolute deviations, and their floors.
 WIDTH = 8.0
-FLOORS = {"chars_per_token": 0.9, "fallback_share": 0.05, "token_entropy": 2.5}
+FLOORS = {"chars_per_token": 0.35, "fallback_share": 0.05, "token_entropy": 1.3}
 #: Documents under which a group has no band of its own and uses that of all.
 LEAST_GROUP = 50
 

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that may be broadcast at most; beyond them the operators shuffle instead.
@@ -93,6 +93,17 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.join(F.broadcast(right) if rows <= most else right, on, how)
 
 
+def least_hashes(df: DataFrame, hashed: Column, rows: int, total: int) -> DataFrame:
+    """About ``rows`` rows of least hash, never more than twice that, out of ``total``.
+
+    A threshold on the hash goes first, so tasks hand on their share only,
+    however many tasks there are.
+    """
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(hashed, F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / total))).limit(2 * rows)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary lies: ``TIDEMARK_TOKENIZERS``, else the installed package."""
     if folder := os.environ.get("TIDEMARK_TOKENIZERS"):

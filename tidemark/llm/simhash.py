@@ -216,7 +216,9 @@ def links(nodes: DataFrame) -> DataFrame:
     """a, b: links of nodes whose fingerprints lie within the radius, enough of them to connect all that are connected. nodes: fp long (distinct), node long."""
     n = nodes.count()
     cells = int(min(MOST_CELLS, max(LEAST_CELLS, n // CELL)))
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(min(MOST_SAMPLE, max(HUB_SAMPLE, cells * SAMPLE_EACH))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    drawn = common.least_hashes(nodes, F.xxhash64("fp"), min(MOST_SAMPLE, max(HUB_SAMPLE, cells * SAMPLE_EACH)), n)
+    sample = drawn.select("fp").toPandas()["fp"].to_numpy(np.int64)
+    sample = np.random.default_rng(2).permutation(np.sort(sample)).view(np.uint64)
     hubs = find_hubs(sample)
     free = hub_of(sample, hubs) < 0
     names: list[int] = []

@@ -9,7 +9,7 @@ global value. A document's posterior adds its own log odds to the log odds by
 which its path departs from the global mean.
 
 The classifier is fitted to a bounded sample of labelled rows (the
-``FIT_ROWS`` of least hash); every count, mean and prior covers all documents.
+about ``FIT_ROWS`` of least hash); every count, mean and prior covers all documents.
 Groups are summed with partial aggregates, so one host may hold any share.
 
 Null texts count as empty; null hosts and paths are groups of their own;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Labelled rows that the classifier is fitted to at most; its ridge.
+#: Labelled rows that the classifier is fitted to (never over twice as many); its ridge.
 FIT_ROWS, RIDGE = 20_000, 1.0
 #: Documents of a posterior under this are rejected.
 LEAST_POSTERIOR = 0.5
@@ -100,7 +100,8 @@ class Logistic:
 def fit(rows: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Logistic | None:
     """rows: doc_id, f. labels: doc_id, quality (1 good)."""
     known = rows.select("doc_id", "f").join(labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality"), "doc_id")
-    got = known.select(F.xxhash64("doc_id", "quality").alias("h"), "f", (F.col("quality") > 0).cast("double").alias("y")).orderBy("h", "f", "y").limit(most).toPandas()
+    drawn = common.least_hashes(known, F.xxhash64("doc_id", "quality"), most, labels.count())
+    got = drawn.select(F.xxhash64("doc_id", "quality").alias("h"), "f", (F.col("quality") > 0).cast("double").alias("y")).toPandas().sort_values(["h", "y"], kind="stable")
     if got["y"].nunique() < 2:
         return None
     return Logistic(np.array(got["f"].tolist()), got["y"].to_numpy())

@@ -54,8 +54,15 @@ def string_quantiles(df: DataFrame, key: str, n: int) -> list:
 
 
 def approximate(df: DataFrame, key: str, n: int, rows: int = 20_000) -> list:
-    """Inner bounds from a bounded sample of the keys, the rows of least hash."""
-    got = sorted(r[0] for r in df.filter(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(rows).collect())
+    """Inner bounds from a bounded sample of the keys: a hash threshold set from the row count, so that tasks hand on their share only.
+
+    The hash is of the whole row: equal keys are drawn as often as they occur.
+    """
+    known = df.filter(F.col(key).isNotNull())
+    total = known.count()
+    if total > rows:
+        known = known.filter(F.pmod(F.xxhash64(*map(F.col, df.columns)), F.lit(1 << 40)) < int((1 << 40) * rows / total)).limit(2 * rows)
+    got = sorted(r[0] for r in known.select(key).collect())
     return sorted({got[int(q * len(got))] for q in fractions(n)}) if got else []
 
 

@@ -8,8 +8,8 @@ more than chance lets them, the prior is strong and sparse sites keep the
 global value. A document's posterior adds its own log odds to the log odds by
 which its path departs from the global mean.
 
-The classifier is fitted to a bounded sample of labelled rows (the
-about ``FIT_ROWS`` of least hash); every count, mean and prior covers all documents.
+The classifier is fitted to a bounded sample of labelled rows
+(about ``FIT_ROWS`` of least hash); every count, mean and prior covers all documents.
 Groups are summed with partial aggregates, so one host may hold any share.
 
 Null texts count as empty; null hosts and paths are groups of their own;

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import common
 
-#: What a word is. Words are compared in lower case without outer punctuation.
+#: What a word is. Words are compared with case folded, without outer punctuation.
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: BM25's constants.
 K1, B = 1.2, 0.75
@@ -43,7 +43,7 @@ RANGES, HALVES = 100, 2000
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(text.casefold())
 
 
 def shingles(w: list[str]) -> set[tuple]:

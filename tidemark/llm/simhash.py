@@ -252,7 +252,8 @@ def links(nodes: DataFrame) -> DataFrame:
         linked = root != np.arange(len(b))
         return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
 
-    dealt = nodes.mapInPandas(deal, "cell int, salt int, fp long, node long, home boolean")
+    # the table's files are small and few, the work on a row is not: a task for each cell's worth of rows
+    dealt = nodes.repartition(cells, "node").mapInPandas(deal, "cell int, salt int, fp long, node long, home boolean")
     found = dealt.groupBy("cell", "salt").applyInPandas(search, "a long, b long")
     if not len(hubs):
         return found

@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import objects
+
 #: Parameter names that the executor fills in.
 RESERVED = ("id", "storage")
 ALL, ANY, ALWAYS = "ALL_COMPLETED", "ANY_COMPLETED", "ALWAYS"
@@ -63,7 +65,23 @@ class RemoteError(RuntimeError):
 
 
 class Results(cf.Future):
-    """Of one call, or of all calls of a job."""
+    """Of one call. Results of calls that a reducer takes are no output."""
+
+    output = True
+
+
+def object_calls(spark: SparkSession, items: Any, chunk_size: int | None = None, chunk_number: int | None = None) -> list[dict]:
+    """A call for each part of the objects at the paths or below the prefixes, objects by path and parts in order. Items may be dicts with ``obj`` and further arguments."""
+    items = items if isinstance(items, (list, tuple, set, frozenset)) else [items]
+    given = [x if isinstance(x, dict) else {"obj": x[0] if isinstance(x, (list, tuple)) else x} for x in items]
+    objects.one_backend([x["obj"] for x in given])
+    alone = [x for x in given if len(x) == 1]  # listed by one job
+    groups = ([([x["obj"] for x in alone], {})] if alone else []) + [([x["obj"]], x) for x in given if len(x) > 1]
+    out = []
+    for paths, further in groups:
+        found = objects.parts(spark, paths, chunk_size, chunk_number).orderBy("path", "part").collect()
+        out += [further | {"obj": objects.ObjectPart(**r.asDict())} for r in found]
+    return out
 
 
 def call_table(spark: SparkSession, func: Callable, calls: list[dict], partitions: int | None = None) -> DataFrame:
@@ -136,22 +154,49 @@ class Executor:
         items = data if isinstance(data, dict) else [data] if not isinstance(data, (list, tuple)) else [list(data)]
         return self._submit(func, bind(func, [items] if isinstance(items, dict) else items), throw)[0]
 
-    def map(self, func: Callable, items: Any, extra: Any = None, throw: bool = True) -> list[cf.Future] | cf.Future:
-        """One call for each item; futures in the items' order, one alone for a single item."""
-        futures = self._submit(func, bind(func, items, extra), throw)
+    def _calls(self, func: Callable, items: Any, extra: Any, chunk_size: int | None, chunk_number: int | None) -> list[dict]:
+        if "obj" not in inspect.signature(func).parameters:
+            return bind(func, items, extra)
+        if extra is not None and not isinstance(extra, dict):
+            raise TypeError("extra parameters must be a dict where the items are objects")
+        calls = object_calls(self.spark, items, chunk_size, chunk_number)
+        return bind(func, calls, extra)
+
+    def map(self, func: Callable, items: Any, extra: Any = None, throw: bool = True, chunk_size: int | None = None, chunk_number: int | None = None) -> list[cf.Future] | cf.Future:
+        """One call for each item; futures in the items' order, one alone for a single item.
+
+        Of a function with a parameter ``obj`` the items are paths or prefixes,
+        and each part of each object is a call.
+        """
+        futures = self._submit(func, self._calls(func, items, extra, chunk_size, chunk_number), throw)
         return futures[0] if len(futures) == 1 else futures
 
-    def map_reduce(self, func: Callable, items: Any, reduce_func: Callable, extra: Any = None, groups: list | None = None) -> list[cf.Future] | cf.Future:
-        """One reducer over all results in order, or one for each group of consecutive items (``groups``: a name for each item)."""
-        calls = bind(func, items, extra)
+    def map_reduce(self, func: Callable, items: Any, reduce_func: Callable, extra: Any = None, groups: list | None = None, chunk_size: int | None = None, chunk_number: int | None = None, reducer_per_object: bool = False) -> list[cf.Future]:
+        """The futures of the calls, then those of the reducers: one over all results in order, one for each object, or one for each group of consecutive items (``groups``: a name for each item).
+
+        ``get_result`` gives what the reducers return.
+        """
+        calls = self._calls(func, items, extra, chunk_size, chunk_number)
+        if reducer_per_object:
+            if any("obj" not in c for c in calls):
+                raise ValueError("a reducer for each object needs a function of obj")
+            groups = [c["obj"].path for c in calls]
+        if groups and len(groups) != len(calls):
+            raise ValueError(f"{len(groups)} group names for {len(calls)} calls")
         names = list(dict.fromkeys(groups)) if groups else [None]
         mapped = self._submit(func, calls)
-        del self.futures[len(self.futures) - len(mapped) :]  # only reducers are results
+        for f in mapped:
+            f.output = False
 
         def reduce_job() -> None:
             try:
                 values = [f.result() for f in mapped]
-                lists = [[v for v, g in zip(values, groups) if g == name] for name in names] if groups else [values]
+                lists = [values]
+                if groups:
+                    by: dict = {name: [] for name in names}
+                    for v, g in zip(values, groups):
+                        by[g].append(v)
+                    lists = list(by.values())
                 for f, r in zip(out, self.spark_results(reduce_func, lists)):
                     f.set_result(r)
             except BaseException as e:
@@ -162,7 +207,7 @@ class Executor:
         out: list[cf.Future] = [Results() for _ in names]
         self.pool.submit(reduce_job)
         self.futures += out
-        return out[0] if len(out) == 1 else out
+        return [*mapped, *out]
 
     def spark_results(self, func: Callable, lists: list[list]) -> list:
         import pickle
@@ -190,6 +235,7 @@ class Executor:
             fs = [f for f in self.futures if id(f) not in self.read]
         else:
             fs = [futures] if isinstance(futures, cf.Future) else list(futures)
+        fs = [f for f in fs if getattr(f, "output", True)]
         out = [f.result(timeout) for f in fs]
         self.read |= {id(f) for f in fs}
         return out[0] if len(fs) == 1 else [x for x in out if x is not None]
@@ -199,6 +245,19 @@ class Executor:
         self.read.clear()
 
 
+def map_parts(parts: DataFrame, func: Callable, returns: str) -> DataFrame:
+    """path, part and the column ``result`` of a function of an ``ObjectPart``; nothing passes through the driver. parts: of ``objects.parts``."""
+    n = parts.sparkSession.sparkContext.defaultParallelism * 4
+
+    @F.pandas_udf(returns)
+    def run(path: pd.Series, size: pd.Series, part: pd.Series, start: pd.Series, chunk: pd.Series) -> pd.Series:
+        given = zip(path, size, part, start, chunk)
+        return pd.Series([func(objects.ObjectPart(p, int(s), int(k), int(a), None if pd.isna(c) else int(c))) for p, s, k, a, c in given])
+
+    dealt = parts.repartition(n, "path", "part")
+    return dealt.select("path", "part", run("path", "size", "part", "start", "chunk_size").alias("result"))
+
+
 def map_rows(df: DataFrame, func: Callable, columns: list[str], returns: str, name: str) -> DataFrame:
     """A Python function over rows of a table, a batch at a time."""
 

@@ -7,16 +7,16 @@ driver reads the XML; tasks read their spectra's bytes. Filters on ``idx`` and
 
 from __future__ import annotations
 
-import os
 import re
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from tidemark.sources.objects import open_file
+
 #: Accessions of the controlled vocabulary.
 PRECISION = {"MS:1000521": "f", "MS:1000523": "d", "MS:1000519": "i", "MS:1000522": "l", "IMS:1000141": "i", "IMS:1000142": "l"}
 NUMPY = {"f": "<f4", "d": "<f8", "i": "<i4", "l": "<i8"}
@@ -36,14 +36,6 @@ def local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def open_file(path: str):
-    """Random access to a file of any storage that pyarrow knows by its URI; plain paths are local."""
-    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+://", path):
-        files, name = pafs.FileSystem.from_uri(path)
-        return files.open_input_file(name)
-    return pafs.LocalFileSystem().open_input_file(os.path.abspath(path))
-
-
 @dataclass
 class Layout:
     """What the XML says: for each spectrum coordinates, offsets and lengths of both arrays; types; scalars."""

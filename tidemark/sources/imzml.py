@@ -1,8 +1,10 @@
 """Imaging mass spectrometry: an XML part that describes spectra and a binary part that holds them.
 
 ``spark.read.format("imzml").load(path)`` gives a row for each spectrum. The
-driver reads the XML; tasks read their spectra's bytes. Filters on ``idx`` and
-``z`` prune spectra before they are read.
+driver reads the XML; tasks read their spectra's bytes. The options ``first``
+and ``last`` (of ``idx``) and ``z`` prune spectra before they are read. Filters
+aren't pushed down: Spark keeps what a Python source made of a filter with the
+table, so a DataFrame read again without the filter would still be filtered.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.sources.objects import open_file
 
@@ -130,23 +132,14 @@ class ImzmlReader(DataSourceReader):
         self.path = options["path"]
         self.ibd = options.get("ibd") or re.sub(r"(?i)\.imzml$", ".ibd", self.path)
         self.each = int(options.get("spectraPerPartition", SPECTRA_EACH))
-        self.tests: list = []
+        self.first, self.last, self.z = (int(options[k]) if options.get(k) is not None else None for k in ("first", "last", "z"))
 
-    def pushFilters(self, filters):
-        known = {EqualTo: "__eq__", GreaterThan: "__gt__", GreaterThanOrEqual: "__ge__", LessThan: "__lt__", LessThanOrEqual: "__le__"}
-        for f in filters:
-            if type(f) in known and f.attribute in (("idx",), ("z",)) and f.value is not None:
-                self.tests.append((f.attribute[0], known[type(f)], f.value))
-            else:
-                yield f
+    def wanted(self, idx: int, z: int) -> bool:
+        return (self.first is None or idx >= self.first) and (self.last is None or idx <= self.last) and (self.z is None or z == self.z)
 
     def partitions(self):
         layout = parse(self.path)
-        rows = []
-        for i, ((x, y, z), a, b) in enumerate(zip(layout.coordinates, layout.mz, layout.intensity)):
-            here = {"idx": i, "z": z}
-            if all(getattr(here[c], test)(v) for c, test, v in self.tests):
-                rows.append((i, x, y, z, *a, *b))
+        rows = [(i, x, y, z, *a, *b) for i, ((x, y, z), a, b) in enumerate(zip(layout.coordinates, layout.mz, layout.intensity)) if self.wanted(i, z)]
         return [Spectra(self.ibd, rows[k : k + self.each], layout.mz_type, layout.intensity_type) for k in range(0, len(rows), self.each)] or [Spectra(self.ibd, [], "d", "f")]
 
     def read(self, part):
@@ -172,11 +165,11 @@ class ImzmlSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ImzmlSource)
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A row for each spectrum; options: first, last, z, ibd, spectraPerPartition."""
     register(spark)
     return spark.read.format("imzml").options(**options).load(path)
 

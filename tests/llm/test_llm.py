@@ -189,6 +189,14 @@ def test_fertility(spark, odd, empty):
     assert all(r["kept"] for r in good) and good
 
 
+def test_fertility_bands_reject_labelled_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    known = {r["doc_id"]: r["quality"] for r in common.table(spark, sf, "labels").collect()}
+    rows = [r for r in fertility.fertility_rules(common.table(spark, sf, "documents"), PIECES).collect() if not r["base_failed"] and r["doc_id"] in known]
+    junk, clean = ([r["kept"] for r in rows if known[r["doc_id"]] == q] for q in (0, 1))
+    assert sum(junk) <= 0.4 * len(junk) and sum(clean) >= 0.99 * len(clean)
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li>menu</li></ul></nav><div class='ad x'>buy</div><article><h1>A &amp; B</h1><p><b>one<br>two\n three<p>four &lt;5<ul><li>x<li>y</ul><div class=comments>no</div></article><footer>&copy;</footer><script>var t='</p>';</script>"
     assert style_tree.main_text(page, None) == "A & B\none two three\nfour <5\nx\ny"

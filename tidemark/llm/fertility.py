@@ -4,7 +4,9 @@ A public vocabulary with byte fallback measures each text: characters per
 token, the share of tokens that are fallback bytes, and the entropy of its
 tokens. Each dominant script (or language) has a band of its own around the
 median of all documents of that group, as wide as a number of median absolute
-deviations and never narrower than a floor; outside a band a text is rejected.
+deviations; outside a band a text is rejected. For texts of fewer tokens than
+the group's median the band widens with the square root of the ratio, as chance
+does. Floors only stand in where the deviations are next to nothing.
 
 Bands come from all documents that pass the base rules. Null and empty texts
 have no words and fail the base rules; a group's rows are only counted and
@@ -27,8 +29,8 @@ from tidemark.llm import byte_bpe, common
 #: What a word is, and the symbols that are counted.
 WORD, SYMBOLS = re.compile(r"[^\x20\x09-\x0D]+"), "#*$%&|<>"
 #: Half widths of the bands in median absolute deviations, and their floors.
-WIDTH = 8.0
-FLOORS = {"chars_per_token": 0.35, "fallback_share": 0.05, "token_entropy": 1.3}
+WIDTH = 6.0
+FLOORS = {"chars_per_token": 0.02, "fallback_share": 0.05, "token_entropy": 0.1}
 #: Documents under which a group has no band of its own and uses that of all.
 LEAST_GROUP = 50
 
@@ -123,11 +125,10 @@ def measures(docs: DataFrame, vocabulary: str, group: str = "lang") -> DataFrame
 
 
 def bands(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The lower and upper bound of each measure, from medians of all rows."""
-    middle = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in MEASURES])
+    """The middle and deviation of each measure and the middle number of tokens, from all rows."""
+    middle = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in [*MEASURES, "n_sp_tokens"]])
     # half the distance of the quartiles stands for the median absolute deviation
-    width = {m: F.greatest(F.lit(FLOORS[m]), F.lit(WIDTH) * (F.col(m)[2] - F.col(m)[0]) / 2) for m in MEASURES}
-    return middle.select(*by, "n", *[(F.col(m)[1] - width[m]).alias(f"{m}_low") for m in MEASURES], *[(F.col(m)[1] + width[m]).alias(f"{m}_high") for m in MEASURES])
+    return middle.select(*by, "n", F.col("n_sp_tokens")[1].cast("double").alias("tokens_middle"), *[F.col(m)[1].alias(f"{m}_middle") for m in MEASURES], *[((F.col(m)[2] - F.col(m)[0]) / 2).alias(f"{m}_deviation") for m in MEASURES])
 
 
 def fertility_rules(docs: DataFrame, vocabulary: str, group: str = "lang") -> DataFrame:
@@ -137,13 +138,14 @@ def fertility_rules(docs: DataFrame, vocabulary: str, group: str = "lang") -> Da
     rows = common.materialise(rows, "fertility")
     good = rows.filter(~F.col("base_failed"))
     own = common.materialise(bands(good, ["band_group"]).filter(F.col("n") >= LEAST_GROUP).drop("n"), "bands")
-    names = [f"{m}_{s}" for m in MEASURES for s in ("low", "high")]
+    names = ["tokens_middle", *[f"{m}_{s}" for m in MEASURES for s in ("middle", "deviation")]]
     every = bands(good, []).first()
     out = common.join_small(rows, own, ["band_group"], "left", own.count())
     edge = lambda name: F.coalesce(F.col(name), F.lit(every[name]).cast("double"))
+    stretch = F.sqrt(F.greatest(F.lit(1.0), edge("tokens_middle") / F.greatest(F.col("n_sp_tokens"), F.lit(1))))
     inside = F.lit(True)
     for m in MEASURES:
-        inside = inside & F.col(m).between(edge(f"{m}_low"), edge(f"{m}_high"))
+        inside = inside & (F.abs(F.col(m) - edge(f"{m}_middle")) <= F.greatest(F.lit(FLOORS[m]), WIDTH * stretch * edge(f"{m}_deviation")))
     return out.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False))).drop(*names)
 
 

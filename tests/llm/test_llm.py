@@ -287,6 +287,44 @@ def test_near_duplicates(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 5, 6, 7]
 
 
+def brute_survivors(texts: dict[int, str | None], reach: int) -> set[int]:
+    fps = {d: simhash.fingerprint(t) & (1 << 64) - 1 for d, t in texts.items()}
+    sets = {d: set(zip(*[(t or "").lower().split()[k:] for k in range(5)])) for d, t in texts.items()}
+    ids = sorted(sets)
+    forest = simhash.Forest(len(ids))
+    for i, a in enumerate(ids):
+        for j in range(i):
+            x, y = sets[a], sets[ids[j]]
+            if len(x & y) >= 0.8 * len(x | y) and (fps[a] ^ fps[ids[j]]).bit_count() <= reach:
+                forest.union(np.array([i]), np.array([j]))
+    return {d for i, d in enumerate(ids) if forest.roots(np.array([i]))[0] == i}
+
+
+def test_keep_one_links_what_jaccard_links(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts, at = {}, 1
+    for size in (60, 150, 151, 400, 1100):
+        for _ in range(12):
+            base = [word() for _ in range(size)]
+            texts[at] = " ".join(base)
+            for k in range(1, 5):  # edits in places far apart, from well over 0.8 to under it
+                copy = list(base)
+                for e in range(max(1, k * size // 110)):
+                    copy[rng.randrange(size)] = word()
+                texts[at + k] = " ".join(copy)
+            at += 5
+    base = [word() for _ in range(200)]
+    for k in range(300):  # a crowd
+        copy = list(base)
+        copy[rng.randrange(200)] = word()
+        texts[at + k] = " ".join(copy)
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in texts.items()], DOCS)
+    want, least = brute_survivors(texts, simhash.REACH), brute_survivors(texts, 64)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want and 60 < len(want) < 300
+    assert least <= want and len(texts) - len(want) >= 0.98 * (len(texts) - len(least))
+
+
 def test_crowds_are_linked_exactly(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)

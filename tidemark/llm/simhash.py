@@ -15,6 +15,11 @@ visitors of a crowded cell are spread over several copies of its residents.
 Null and empty texts have fingerprint zero and are linked like any other. Rows
 of one doc_id count as one document. Null ids take part, with a null component
 if no other id is reached. Other columns aren't read.
+
+``keep_one`` searches at a wider radius and links only what it has verified:
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Such sets differ in size by a quarter at most, so they are searched in
+bands of size, each with the next.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from tidemark.llm.components import star_roots
 
 #: Words of a shingle, hash seed, greatest distance of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Of keep_one: words of a verified shingle, least Jaccard similarity of a link, greatest distance searched.
+WORDS, SIMILARITY, REACH = 5, 0.8, 14
 #: Fingerprints of a cell at home on average; cells; sampled fingerprints for each cell and at most.
 CELL, LEAST_CELLS, MOST_CELLS, SAMPLE_EACH, MOST_SAMPLE = 20_000, 48, 4096, 64, 262_144
 #: A hub has at least this share of the sample within the radius; hubs at most; points compared to find them.
@@ -53,19 +60,19 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     words = text.encode("utf-8").lower().split()  # bytes: A-Z only, and ASCII white space
     if not words:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    n = len(words) - SHINGLE + 1
+    n = len(words) - size + 1
     if n <= 1:
         return np.array([digest(b" ".join(words), SEED)], np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[:n].tolist()
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, n)
 
 
 def fingerprint(text: str | None) -> int:
@@ -101,15 +108,15 @@ class Node:
     cell: int = -1
 
 
-def split(x: np.ndarray, rng: np.random.Generator) -> tuple[int, int] | None:
+def split(x: np.ndarray, rng: np.random.Generator, radius: int = RADIUS) -> tuple[int, int] | None:
     """A vantage point and a middle distance with few points just beyond it; None if nothing parts the points."""
     best = None
     for v in rng.choice(x, min(6, len(x)), replace=False):
-        counts = np.cumsum(np.bincount(distance(x, v), minlength=65 + RADIUS))
+        counts = np.cumsum(np.bincount(distance(x, v), minlength=65 + radius))
         for m in np.unique(np.searchsorted(counts, len(x) * np.array([0.3, 0.4, 0.5, 0.6, 0.7]))):
             m = min(int(m), 63)
-            here, beyond = counts[m], counts[min(m + RADIUS, 64)] - counts[m]
-            near = counts[m] - (counts[m - RADIUS] if m >= RADIUS else 0)
+            here, beyond = counts[m], counts[min(m + radius, 64)] - counts[m]
+            near = counts[m] - (counts[m - radius] if m >= radius else 0)
             if 0 < here < len(x):
                 cost = max(here, len(x) - here) + beyond + 0.5 * near
                 if best is None or cost < best[0]:
@@ -143,15 +150,15 @@ def route(node: Node, x: np.ndarray, at: np.ndarray, home: np.ndarray, out: list
     route(node.right, x, at[go], home[go], out)
 
 
-def find_hubs(x: np.ndarray) -> np.ndarray:
+def find_hubs(x: np.ndarray, radius: int = RADIUS, apart: int = 3 * RADIUS) -> np.ndarray:
     """Points with many others within the radius, too far apart for their neighbourhoods to be linked."""
     x = x[:HUB_SAMPLE]
-    near = np.array([(distance(x, v) <= RADIUS).sum() for v in x]) if len(x) else np.empty(0)
+    near = np.array([(distance(x, v) <= radius).sum() for v in x]) if len(x) else np.empty(0)
     hubs: list[int] = []
     for k in np.argsort(-near, kind="stable"):
         if near[k] < max(8, HUB_SHARE * len(x)) or len(hubs) == MOST_HUBS:
             break
-        if all(int(distance(x[k : k + 1], h)[0]) > 3 * RADIUS for h in hubs):
+        if all(int(distance(x[k : k + 1], h)[0]) > apart for h in hubs):
             hubs.append(int(x[k]))
     return np.array(hubs, np.uint64)
 
@@ -188,28 +195,34 @@ class Forest:
             np.minimum.at(self.parent, j, i)
 
 
-def link_cell(x: np.ndarray, home: np.ndarray, forest: Forest, seed: int = 7) -> None:
-    """Unite all points within the radius of each other, at least one of them at home."""
+def close_pairs(x: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int = 7):
+    """Places (i, j), as arrays, of all points within the radius of each other, at least one of them at home."""
     rng = np.random.default_rng(seed)
     stack = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while stack:
         own, guests = stack.pop()
         if not len(own):
             continue
-        found = split(x[own], rng) if len(own) > LEAF else None
+        found = split(x[own], rng, radius) if len(own) > LEAF else None
         if found is None:
             for k in range(0, len(own), LEAF):
                 part = own[k : k + LEAF]
                 others = np.concatenate([own[k:], guests])
                 for o in range(0, len(others), 1 << 14):
                     other = others[o : o + (1 << 14)]
-                    i, j = np.nonzero(np.bitwise_count(x[part][:, None] ^ x[other][None, :]) <= RADIUS)
-                    forest.union(part[i], other[j])
+                    i, j = np.nonzero(np.bitwise_count(x[part][:, None] ^ x[other][None, :]) <= radius)
+                    yield part[i], other[j]
             continue
         v, m = found
         d, dg = distance(x[own], v).astype(np.int16), distance(x[guests], v).astype(np.int16)
-        stack.append((own[d <= m], np.concatenate([own[(d > m) & (d <= m + RADIUS)], guests[dg <= m + RADIUS]])))
-        stack.append((own[d > m], guests[dg > m - RADIUS]))
+        stack.append((own[d <= m], np.concatenate([own[(d > m) & (d <= m + radius)], guests[dg <= m + radius]])))
+        stack.append((own[d > m], guests[dg > m - radius]))
+
+
+def link_cell(x: np.ndarray, home: np.ndarray, forest: Forest, seed: int = 7) -> None:
+    """Unite all points within the radius of each other, at least one of them at home."""
+    for i, j in close_pairs(x, home, RADIUS, seed):
+        forest.union(i, j)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -277,10 +290,97 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the least id of each component; rows without an id stay, and of a repeated id one row stays."""
-    groups = near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size)) if text else np.empty(0, np.uint64)
+
+
+def distinct_sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp, digest of every row; and of each distinct shingle set: fp, digest, n (its size), text_hash, node (the least id)."""
+    common.text_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp long, digest long, n long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            h = shingle_set(x, shingle)
+            rows.append((fingerprint(x), int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h)))
+        return pd.DataFrame(rows, columns=["fp", "digest", "n"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), run("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    rows = common.materialise(rows, "fingerprints")
+    # texts of one set in other orders have fingerprints of their own or not: the least stands for all
+    nodes = rows.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "fp")).alias("s"))
+    no_id = F.lit(NO_ID) + F.pmod(F.col("digest"), F.lit(1 << 40))
+    nodes = nodes.select("digest", "n", "s.text_hash", "s.fp", F.coalesce("first", no_id).cast("long").alias("node"))
+    return rows.select("doc_id", "digest"), common.materialise(nodes, "nodes")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar enough; texts are read for these only."""
+    pairs = common.materialise(pairs.select("a", "b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_hash"), "node")
+    common.text_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, shingle).view(np.int64) for x in texts])
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["node"])
+    sets = common.materialise(texts.select("node", run("text").alias("s")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def verified_links(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """a, b: links of nodes within the radius whose similarity is verified, enough of them to connect all that are connected."""
+    total, whole = nodes.count(), nodes
+    drawn = common.least_hashes(nodes, F.xxhash64("node"), HUB_SAMPLE, total).select("fp").toPandas()["fp"].to_numpy(np.int64)
+    hubs = find_hubs(np.random.default_rng(2).permutation(np.sort(drawn)).view(np.uint64), radius, radius)
+    first = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if len(hubs):  # crowds are linked to their hubs first, so that not all their pairs are verified
+        known = nodes.filter(F.col("fp").isin([int(h) for h in hubs.view(np.int64)])).groupBy("fp").agg(F.min("node").alias("b")).collect()
+        near = [F.when(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r["fp"]))) <= radius, F.lit(r["b"])) for r in known]
+        stars = nodes.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array(*near))).alias("b")).filter("a <> b")
+        first = common.materialise(alike(stars, nodes, docs, shingle, similarity), "links")
+        roots = star_roots(first)
+        nodes = nodes.join(roots, "node", "left").select("digest", "n", "text_hash", "fp", "node", F.coalesce("root", "node").alias("group"))
+    else:
+        nodes = nodes.withColumn("group", F.col("node"))
+    # sets as similar differ in size by this factor at most, so by one band at most
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(1 / similarity)) * (1 - 1e-9)).cast("int")
+    nodes = common.materialise(nodes.select("node", "fp", "n", "group", band.alias("band")), "bands")
+    parts = nodes.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")).collect()
+    parts = {r["band"]: r["parts"] for r in parts}
+    count = lambda b: F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[b], F.lit(0)) if parts else F.lit(0)
+    own = F.pmod(F.xxhash64("node"), count(F.col("band")).cast("long")).cast("int")
+    nodes = nodes.select("*", own.alias("own"), count(F.col("band")).alias("here"), count(F.col("band") + 1).alias("above"))
+    place = lambda band, part, home: F.struct(band.alias("cell"), part.alias("part"), F.lit(home).alias("home"))
+    # at home in a part of its band, a guest in the parts after it and in all of the next band
+    after = F.when(F.col("own") + 1 < F.col("here"), F.sequence(F.col("own") + 1, F.col("here") - 1)).otherwise(F.array().cast("array<int>"))
+    above = F.when(F.col("above") > 0, F.sequence(F.lit(0), F.col("above") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.concat(F.array(place(F.col("band"), F.col("own"), True)), F.transform(after, lambda k: place(F.col("band"), k, False)), F.transform(above, lambda k: place(F.col("band") + 1, k, False)))
+    dealt = nodes.select("node", "fp", "n", "group", F.explode(places).alias("p")).select("node", "fp", "n", "group", "p.*")
+
+    def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        x, node, group, n = b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(np.int64), b["group"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
+        out = [np.empty((2, 0), np.int64)]
+        for i, j in close_pairs(x, b["home"].to_numpy(bool), radius):
+            use = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            out.append(np.stack([np.maximum(node[i[use]], node[j[use]]), np.minimum(node[i[use]], node[j[use]])]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    found = dealt.groupBy("cell", "part").applyInPandas(search, "a long, b long")
+    return first.unionByName(alike(found, whole, docs, shingle, similarity))
+
+
+def keep_one(docs: DataFrame, shingle: int = WORDS, radius: int = REACH, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with the least id of each component of verified near copies; rows without an id stay, and of a repeated id one row stays."""
+    rows, nodes = distinct_sets(docs, shingle)
+    roots = star_roots(verified_links(nodes, docs, shingle, radius, similarity))
+    roots = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    kept = rows.join(roots, "digest").filter("doc_id = root").select(F.col("doc_id").alias("kept_id")).distinct()
     good = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return good.unionByName(docs.filter("doc_id is null"))
 

@@ -214,6 +214,12 @@ def test_style_tree_prunes_what_pages_share(spark):
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_prunes_inside_articles(spark):
+    make = lambda i: f"<body><article class='post'><p>Story {i} alone</p><div class='k9'>The same on all pages</div></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", make(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()} == {i: f"Story {i} alone" for i in range(12)}
+
+
 def test_pages_table(spark):
     rows = style_tree.query(spark, SF).collect()
     assert len(rows) == 50 and all(r["text"] and "var t" not in r["text"] and "©" not in r["text"] for r in rows)

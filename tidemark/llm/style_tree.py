@@ -47,6 +47,8 @@ DROPPED = frozenset("head nav header footer aside form button dialog menu script
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 UNWANTED = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar widget cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup social share sharing related recommended comment comments disqus replies footer header masthead copyright login toolbar pagination pager skip".split())
 MAIN = frozenset("article main".split())
+#: Paths that end at one of them, with classes or without.
+MAIN_END = r"/(article|main)(\.[^/]*)?$"
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<?[^<]*", re.S)
 _attribute = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -232,7 +234,7 @@ def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float
     style = 1 - F.col("style") / (F.col("pages") * of_page)
     content = 1 - F.least(F.lit(1.0), F.col("below_log") / (F.col("below") * of_page))
     low = tree.filter(F.col("pages") >= least_pages).filter(own * style + (1 - own) * content < least)
-    low = low.filter(~F.col("path").rlike(r"^(/html[^/]*)?(/body[^/]*)?$") & ~F.col("path").rlike(r"/(article|main)\b"))
+    low = low.filter(~F.col("path").rlike(r"^(/html[^/]*)?(/body[^/]*)?$") & ~F.col("path").rlike(MAIN_END))
     return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
 
 

@@ -220,6 +220,18 @@ def test_style_tree_prunes_inside_articles(spark):
     assert {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()} == {i: f"Story {i} alone" for i in range(12)}
 
 
+def test_copies_of_a_page_are_one_page_of_the_tree(spark):
+    for tag in ("article", "div"):
+        make = lambda i: f"<body><div class='page'><{tag}><p>Story {i} alone</p><p>and more of {i * 7}</p></{tag}></div></body>"  # noqa: E731, B023
+        pages = spark.createDataFrame([(i, f"http://h.org/{i}", make(max(i, 80))) for i in range(100)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
+        assert got == {i: f"Story {max(i, 80)} alone\nand more of {max(i, 80) * 7}" for i in range(100)}
+    # near copies, the same but for a comment: an article stays all the same
+    make = lambda i: f"<body><div class='page'><article><p>Story {max(i, 80)} alone</p></article></div><!--{i}--></body>"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", make(i)) for i in range(100)], "page_id long, url string, html string")
+    assert all(style_tree.MAIN_END and r["low"] == ["/body/div.page/article/p"] for r in style_tree.low_branches(pages).collect())
+
+
 def test_pages_table(spark):
     rows = style_tree.query(spark, SF).collect()
     assert len(rows) == 50 and all(r["text"] and "var t" not in r["text"] and "©" not in r["text"] for r in rows)

@@ -15,7 +15,9 @@ names and class names of menus, adverts and the like remove branches as well,
 and a page with a main element gives the text in it.
 
 Null and empty pages have empty text. A null or odd URL belongs to the host
-``''``. Repeated pages are counted each. Broken markup never fails: unclosed
+``''``. Copies of a page on a host are one page to its tree: each adds its share
+of one. A branch that holds an ``article`` or ``main`` is never removed, branches
+inside one are. Broken markup never fails: unclosed
 elements end with the page. Other columns aren't read.
 """
 
@@ -191,14 +193,22 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
+def shares(pages: DataFrame) -> DataFrame:
+    """host, html, share of every page: one divided by the number of its copies on the host."""
+    rows = pages.select(host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("page"))
+    copied = common.materialise(rows.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
+    rows = common.join_small(rows, copied, ["host", "page"], "left", copied.count())
+    return rows.select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+
+
 def observations(pages: DataFrame) -> DataFrame:
-    """host, path, kind (0 presentation, 1 content), hash: what each page adds to its host's tree."""
+    """host, path, kind (0 presentation, 1 content), hash, share: what each page adds to its host's tree."""
     common.text_batches(pages.sparkSession)
 
     def run(batches):
         for b in batches:
-            hosts, paths, kinds, hashes = [], [], [], []
-            for h, page in zip(b["host"], b["html"]):
+            hosts, paths, kinds, hashes, parts = [], [], [], [], []
+            for h, page, share in zip(b["host"], b["html"], b["share"]):
                 if not page:
                     continue
                 blocks, styles, _ = walk(page)
@@ -208,15 +218,16 @@ def observations(pages: DataFrame) -> DataFrame:
                     paths.append(path)
                     kinds.append(kind)
                     hashes.append(xxhash.xxh64_intdigest(what.encode("utf-8", "replace")) - (1 << 63))
-            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "path": pd.Series(paths, dtype=object), "kind": np.array(kinds, np.int8), "hash": np.array(hashes, np.int64)})
+                    parts.append(share)
+            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "path": pd.Series(paths, dtype=object), "kind": np.array(kinds, np.int8), "hash": np.array(hashes, np.int64), "share": np.array(parts, np.float64)})
 
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, path string, kind byte, hash long")
+    return shares(pages).mapInPandas(run, "host string, path string, kind byte, hash long, share double")
 
 
 def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE, own: float = OWN_SHARE) -> DataFrame:
     """host, low array<string>: the highest branches of each host whose composite importance is under ``least``."""
-    seen = observations(pages).groupBy("host", "path", "kind", "hash").agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n").cast("double")
+    seen = observations(pages).groupBy("host", "path", "kind", "hash").agg(F.round(F.sum("share")).alias("n"))
+    n = F.col("n")
     sums = seen.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, n)).alias("pages"),
         F.sum(F.when(F.col("kind") == 0, n * F.log(n))).alias("style"),
@@ -235,6 +246,13 @@ def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float
     content = 1 - F.least(F.lit(1.0), F.col("below_log") / (F.col("below") * of_page))
     low = tree.filter(F.col("pages") >= least_pages).filter(own * style + (1 - own) * content < least)
     low = low.filter(~F.col("path").rlike(r"^(/html[^/]*)?(/body[^/]*)?$") & ~F.col("path").rlike(MAIN_END))
+    # what holds an article or main stays, whatever its importance
+    holders = F.filter(above, lambda p: p.rlike(MAIN_END))
+    outer = sums.select("host", F.explode(holders).alias("main")).distinct()
+    steps = F.split("main", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.concat_ws("/", F.slice(steps, 1, k)))
+    outer = outer.select("host", F.explode(above).alias("path")).distinct()
+    low = low.join(outer, ["host", "path"], "left_anti")
     return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
 
 

@@ -414,6 +414,19 @@ def test_site_quality(spark, odd, empty):
     assert site_quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_rejected_rows_take_no_others_with_them(spark):
+    sf = "/root/testdata/sf0.01"
+    labels, docs = common.table(spark, sf, "labels"), common.table(spark, sf, "documents")
+    kept = {r["doc_id"]: r["kept"] for r in site_quality.classify(docs, labels).collect()}
+    bad = min(d for d, k in kept.items() if not k)
+    good = sorted(d for d, k in kept.items() if k)[:3]
+    new = F.when(F.col("doc_id").isin(bad, good[0]), F.lit(None)).when(F.col("doc_id") == good[1], min(d for d, k in kept.items() if not k and d != bad)).otherwise(F.col("doc_id"))
+    hurt = docs.withColumn("was", F.col("doc_id")).withColumn("doc_id", new.cast("long"))
+    # the two ids without labels change the fit next to nothing
+    left = {r["was"] for r in site_quality.keep_good(hurt, labels).collect()}
+    assert set(good) <= left and bad not in left
+
+
 def test_sparse_sites_are_shrunk(spark):
     groups = spark.createDataFrame([(1000.0, 900.0), (1000.0, 100.0), (2.0, 0.0)], "n double, s double")
     assert site_quality.moments(groups, "n", "s", F.lit(0.5)) < 5

@@ -129,15 +129,23 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = LEAST_POSTERIOR) -> DataFrame:
-    """doc_id, host, path, evidence, host_posterior, path_posterior, posterior, kept of every row."""
+def text_or(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
+
+
+def row_key(host: str, path: str) -> Column:
+    """A hash of all that a row's verdict follows from, and its id; null and empty texts are alike."""
+    return F.xxhash64(text_or("doc_id"), text_or(host), text_or(path), F.coalesce("text", F.lit("")))
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: str, path: str, least: float) -> DataFrame:
+    """What ``classify`` gives, and the key of every row."""
     common.text_batches(docs.sparkSession)
-    text_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
-    rows = docs.select("doc_id", text_or(host).alias("host"), text_or(path).alias("path"), evidence_features(F.col("text")).alias("f"))
+    rows = docs.select("doc_id", text_or(host).alias("host"), text_or(path).alias("path"), row_key(host, path).alias("key"), evidence_features(F.col("text")).alias("f"))
     rows = common.materialise(rows, "features")
     model = fit(rows, labels)
     evidence = model.log_odds(F.col("f")) if model else F.lit(0.0)
-    rows = rows.select("doc_id", "host", "path", F.least(F.greatest(evidence, F.lit(-30.0)), F.lit(30.0)).alias("evidence"))
+    rows = rows.select("doc_id", "host", "path", "key", F.least(F.greatest(evidence, F.lit(-30.0)), F.lit(30.0)).alias("evidence"))
     p = 1 / (1 + F.exp(-F.col("evidence")))
     paths = common.materialise(rows.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
@@ -153,15 +161,21 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     site = logit(F.col("path_posterior")) - logit(F.lit(mean))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + SITE_WEIGHT * site))))
     kept = F.col("posterior") >= least if model else F.lit(True)
-    return out.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "posterior", kept.alias("kept"))
+    return out.select("doc_id", "host", "path", "key", "evidence", "host_posterior", "path_posterior", "posterior", kept.alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = LEAST_POSTERIOR) -> DataFrame:
+    """doc_id, host, path, evidence, host_posterior, path_posterior, posterior, kept of every row."""
+    return judge(docs, labels, host, path, least).drop("key")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, all columns; a row goes if its id and group are rejected."""
-    bad = classify(docs, labels).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id")).distinct()
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """The documents that the classifier keeps, all columns; a row goes by its own id, host, path and text, so null and repeated ids don't take others with them."""
+    bad_key = common.free_name(docs, "bad_key")
+    bad = judge(docs, labels, host, path, LEAST_POSTERIOR).filter(~F.col("kept")).select(F.col("key").alias(bad_key)).distinct()
     bad = common.materialise(bad, "rejected")
     few = bad.count() <= common.BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, row_key(host, path) == F.col(bad_key), "left_anti")
 
 
 def query(spark, sf_dir):

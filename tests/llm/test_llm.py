@@ -169,6 +169,22 @@ def test_salvage():
     assert [x[2] for x in out if x[0] == "gap"] == [len(members[10])]
 
 
+def test_salvage_of_gzip_archives_with_damaged_starts():
+    rng = random.Random(4)
+    parts = [record(n, rng.randbytes(200)) for n in range(30)]
+    data = b"".join(gzip.compress(b"".join(parts[k : k + 3])) for k in range(0, 30, 3))
+    ids = lambda data: [int(x[3]["x-page-id"]) for x in warc.salvage(data) if x[0] == "record"]
+    assert ids(data) == list(range(30))
+    assert ids(b"\0" + data[1:]) == list(range(3, 30)) and ids(b"junk" + data) == list(range(30))
+    # the first record of a member stays if the last is damaged
+    size = len(gzip.compress(b"".join(parts[:3])))
+    hurt = bytearray(data)
+    hurt[size - 100] ^= 0xFF
+    out = list(warc.salvage(bytes(hurt)))
+    assert ids(bytes(hurt)) == [0, 1, *range(3, 30)] and [x[1:3] for x in out if x[0] == "gap"] == [(0, size)]
+    assert ids(parts[0] + data[:-9] + parts[1]) == [0, *range(30), 1]
+
+
 def test_fertility(spark, odd, empty):
     pieces = fertility.Pieces(PIECES)
     for _, text, *_ in documents()[:60] + [(0, None), (0, "a b c a b c a b"), (0, "x\nx\n\n\nx")]:

@@ -2,9 +2,11 @@
 
 Reading checks each record: version line, header block, length, the blank
 lines after it, and the digest of its block. After a failed check it looks
-for the next version line (in gzip files also for the next member) from which
-a whole valid record can be read, and reports the bytes between as a gap of
-kind ``gap``. A damaged record costs itself only.
+for the next version line or gzip member, whichever comes first, from which a
+whole valid record can be read, and reports the bytes between as a gap of
+kind ``gap``. Of a damaged member, the records that inflate before its failure
+and whose block digest proves them whole are given too, at the member's offset.
+A damaged record costs itself only.
 
 Nulls: a null payload is empty, a null URL is written as an empty target, null
 ids come back null and are never referred to while the group has another id.
@@ -36,6 +38,9 @@ FILE_BYTES = 8 << 20
 
 _version = re.compile(rb"WARC/\d\.\d\r?\n")
 _gzip = re.compile(rb"\x1f\x8b\x08")
+_start = re.compile(_version.pattern + b"|" + _gzip.pattern)
+#: Bytes of a gzip member inflated at once.
+STEP = 1 << 16
 
 
 def base32_sha1(data: Column) -> Column:
@@ -161,36 +166,57 @@ def salvage_plain(data: bytes) -> Iterator[tuple]:
         yield "gap", bad, len(data) - bad, why, None
 
 
-def member(data: bytes, at: int) -> tuple[int, bytes] | None:
-    """(end, content) of the whole gzip member at ``at``, if it passes its check sum."""
-    try:
-        unzip = zlib.decompressobj(31)
-        out = unzip.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    return (len(data) - len(unzip.unused_data), out) if unzip.eof else None
+def member(data: bytes, at: int) -> tuple[int, bytes, bool]:
+    """(end, content, whole) of the gzip member at ``at``; of a damaged one, what inflates before its failure."""
+    view, unzip, out = memoryview(data), zlib.decompressobj(31), []
+    while at < len(data) and not unzip.eof:
+        before = unzip.copy()
+        try:
+            out.append(unzip.decompress(view[at : at + STEP]))
+        except zlib.error:
+            try:
+                for k in range(at, at + STEP):
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+            return at, b"".join(out), False
+        at += STEP
+    return min(at, len(data)) - len(unzip.unused_data), b"".join(out), unzip.eof
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """Records and gaps of a plain or gzip archive; offsets of a gzip archive are its members'."""
-    if not _gzip.match(data):
-        yield from salvage_plain(data)
-        return
-    at, bad = 0, None
+    """Records and gaps of a plain or gzip archive, or of one that is part of each; offsets of gzip records are their members'."""
+    at, bad, why = 0, None, ""
+    proven: list[tuple] = []  # records of damaged members in the gap: offset, header, block
     while at < len(data):
-        if _gzip.match(data, at) and (got := member(data, at)):
+        found, reason = [], "bad gzip member"
+        if _gzip.match(data, at):
+            end, content, whole = member(data, at)
+            inside = list(salvage_plain(content))
+            if whole and (bad is None or any(x[0] == "record" for x in inside)):
+                found = [(kind, at, end - at, what, block) for kind, _, _, what, block in inside] or [("gap", at, end - at, "empty gzip member", None)]
+            elif not whole:
+                proven += [(at, x[3], x[4]) for x in inside if x[0] == "record" and x[3].get("warc-block-digest", "").startswith("sha1:")]
+        elif not isinstance(got := parse(data, at), str):
+            end, header, block = got
+            found = [("record", at, end - at, header, block)]
+        else:
+            reason = got
+        if found:
             if bad is not None:
-                yield "gap", bad, at - bad, "bad gzip member", None
-                bad = None
-            for kind, _, _, what, block in salvage_plain(got[1]):
-                yield kind, at, got[0] - at, what, block
-            at = got[0]
+                yield "gap", bad, at - bad, why, None
+                yield from (("record", o, at - o, header, block) for o, header, block in proven)
+                bad, proven = None, []
+            yield from found
+            at = end
             continue
-        bad = at if bad is None else bad
-        m = _gzip.search(data, at + 1)
+        if bad is None:
+            bad, why = at, reason
+        m = _start.search(data, at + 1)
         at = m.start() if m else len(data)
     if bad is not None:
-        yield "gap", bad, len(data) - bad, "bad gzip member", None
+        yield "gap", bad, len(data) - bad, why, None
+        yield from (("record", o, len(data) - o, header, block) for o, header, block in proven)
 
 
 SCHEMA = "kind string, path string, offset long, length long, reason string, record_type string, page_id long, refers_to long, url string, payload_digest string, payload_bytes long, payload binary"

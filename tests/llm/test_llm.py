@@ -61,6 +61,27 @@ def test_bpe_equals_library():
     assert enc.hits and enc.held <= 100_000
 
 
+CONTRACTED = ["you're", "we've", "they'll", "I'd", "it's", "don't", "the", "house", "'re", "l'été", "d'où", "qu'ils", "rock'n'roll", "x", "--", "!'ve", "'", "''", " ", "\n", "12'll", "é"]
+
+
+def test_contractions_cut_at_every_byte():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    text = "You're here, we've  been; they'll say I'd go -- it's \"'re\" l'été d'où qu'ils !'ve 12'll\n\n  x's 'tis o'clock's  don't " * 2
+    want, data = library.encode(text, add_special_tokens=False).ids, text.encode()
+    starts = [k for k in range(1, len(data)) if data[k] & 0xC0 != 0x80]
+    ends = [[k, len(data)] for k in starts] + [[k for k in starts if k % step == off] + [len(data)] for step in (9, 13, 17, 31, 40) for off in range(step)]
+    for at in ends:
+        enc = chunked_bpe.ChunkEncoder(VOCABULARY)
+        enc.cuts = lambda d, at=at: at
+        assert enc.ids(text) == want
+    rng, enc = random.Random(8), chunked_bpe.ChunkEncoder(VOCABULARY)
+    for _ in range(300):
+        text = " ".join(rng.choice(CONTRACTED) for _ in range(1500))
+        assert enc.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_own_merges_equal_library_merges():
     bpe = byte_bpe.load(VOCABULARY)
     for text in HARD[3:9]:

@@ -2,14 +2,22 @@
 
 A gear hash over the last 32 bytes cuts a text where its low bits vanish, so
 a passage that many documents share is cut alike in all of them. A chunk's
-core (all but its first two pieces and its last one) is encoded once and kept;
+core (all but its first two and its last two pieces) is encoded once and kept;
 at each join the pieces from the last certain piece start to the next core are
 split and encoded again. The join is right when a piece ends exactly where the
 core begins, since splitting depends only on what follows a piece start; when
 none does, the whole chunk is split again and the search goes on at the next.
 
+A piece is certain once two more characters are known: runs and white space
+need one, and an apostrophe needs two to tell whether ``re``, ``ve`` or ``ll``
+follows. So the last two pieces of a chunk, which may end in its last two
+characters, are never part of a core, and a join looks two characters into it.
+
 Null and empty texts give no tokens; the digests are then those of nothing.
-Chunks are kept up to a bound of bytes in each worker, the oldest go first.
+Texts of any length are read chunk by chunk; repeated rows are encoded each,
+with the chunks kept from the first; an empty table gives an empty result;
+other columns aren't read. Chunks are kept up to a bound of bytes in each
+worker, in two generations: a chunk that is asked for again outlives the bound.
 """
 
 from __future__ import annotations
@@ -74,7 +82,9 @@ class ChunkEncoder:
     def __init__(self, vocabulary: str, kept_bytes: int = KEPT_BYTES):
         self.bpe = byte_bpe.load(vocabulary)
         self.kept: dict[bytes, tuple | None] = {}
-        self.held, self.most = 0, kept_bytes
+        self.old: dict[bytes, tuple | None] = {}
+        self.held, self.most = 0, kept_bytes // 2
+        self.cuts = cuts
         self.hits = self.misses = self.rescans = 0
 
     def chunk(self, data: bytes) -> tuple | None:
@@ -82,18 +92,21 @@ class ChunkEncoder:
         if data in self.kept:
             self.hits += 1
             return self.kept[data]
-        self.misses += 1
-        text = data.decode("utf-8")
-        pieces = self.bpe.split.findall(text)
-        out = None
-        if len(pieces) >= 6:
-            known = self.bpe.texts
-            ids, numbers, backs = zip(*[known[p] for p in pieces[2:-1]])
-            out = (text, len(pieces[0]) + len(pieces[1]), len(text) - len(pieces[-1]), ",".join(ids), sum(numbers), b"".join(backs))
+        if data in self.old:
+            self.hits += 1
+            out = self.old[data]
+        else:
+            self.misses += 1
+            text = data.decode("utf-8")
+            pieces = self.bpe.split.findall(text)
+            out = None
+            if len(pieces) >= 6:
+                known = self.bpe.texts
+                ids, numbers, backs = zip(*[known[p] for p in pieces[2:-2]])
+                tail = len(text) - len(pieces[-1]) - len(pieces[-2])
+                out = (text, len(pieces[0]) + len(pieces[1]), tail, ",".join(ids), sum(numbers), b"".join(backs))
         if self.held + len(data) > self.most:
-            for old in list(self.kept)[: len(self.kept) // 2 + 1]:
-                self.held -= len(old)
-                del self.kept[old]
+            self.old, self.kept, self.held = self.kept, {}, 0
         self.kept[data] = out
         self.held += len(data)
         return out
@@ -116,7 +129,7 @@ class ChunkEncoder:
 
     def joined(self, segment: str):
         data, last, open_text = segment.encode("utf-8"), 0, ""
-        for end in cuts(data):
+        for end in self.cuts(data):
             piece = data[last:end]
             last = end
             core = self.chunk(piece)
@@ -125,7 +138,7 @@ class ChunkEncoder:
                 continue
             text, head, tail, ids, n, back = core
             due = len(open_text) + head
-            seen = open_text + text[: head + 1]
+            seen = open_text + text[: head + 2]
             pieces, at = [], 0
             for m in self.bpe.split.finditer(seen):
                 if at >= due:

@@ -12,12 +12,9 @@ def test_query_equals_sql(spark, name):
     assert difference(spark, SF, catalog.QUERIES[name], catalog.SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_random_query(spark, name):
-    rows = catalog.QUERIES[name](spark, SF).collect()
-    assert rows
-    if name == "pi_estimate":
-        assert abs(rows[0][0] - 3.14159) < 0.01
+def test_every_query_has_sql(spark):
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert abs(catalog.QUERIES["pi_estimate"](spark, SF).first()[0] - 3.14159) < 0.01
 
 
 def test_entry(spark):

@@ -132,3 +132,83 @@ def test_parts_are_mapped_without_the_driver(spark, shelf):
     rows = mapreduce.map_parts(parts, lambda obj: len(obj.data_stream.read().split()), "long")
     got = {r["path"].rpartition("/")[2]: r["n"] for r in rows.groupBy("path").agg(F.sum("result").alias("n")).collect()}
     assert got == {n: len(open(f"{shelf}/{n}").read().split()) for n in ("a.txt", "b b.txt", "c.txt")}
+
+
+def test_values_pass_through_the_storage(spark, pool):
+    put = pool.get_result(pool.map(lambda x, storage: storage.put_object([x], f"k/{x}"), range(3)))
+    assert pool.get_result(pool.map(lambda stored, storage: storage.get_object(stored), put)) == [[0], [1], [2]]
+    assert pool.storage.get_object(put[2]) == [2]
+    assert pool.clean(f"{pool.storage.root}/k/1") == 1 and pool.clean() == 1 and pool.clean() == 0
+
+
+def test_calls_that_take_too_long_or_too_much(spark):
+    def sleep(x):
+        time.sleep(x)
+        return x
+
+    pool = mapreduce.Executor(spark, timeout=0.3, most_arguments=10_000)
+    futures = pool.map(sleep, [0.0, 30.0])
+    assert futures[0].result() == 0.0
+    with pytest.raises(TimeoutError):
+        futures[1].result()
+    with pytest.raises(ValueError):
+        pool.map(double, ["x" * 20_000])
+
+
+def test_calls_that_die(spark):
+    pool = mapreduce.Executor(spark)
+    with pytest.raises(MemoryError):
+        pool.map(lambda x: os._exit(1), [1]).result()
+
+
+def test_calls_that_ask_for_calls(pool):
+    nested = pool.map(lambda x: mapreduce.Calls(lambda y: y + 1, list(range(x))), range(1, 5))
+    assert pool.get_result(nested) == [[1], [1, 2], [1, 2, 3], [1, 2, 3, 4]]
+    twice = pool.call_async(lambda x: mapreduce.Calls(lambda y: mapreduce.Calls(lambda z: z, [y]), [x, x + 1]), 3)
+    assert pool.get_result(twice) == [[3], [4]]
+
+
+def test_urls_are_mapped_in_ranges(pool, shelf, monkeypatch):
+    import http.server
+    import threading
+
+    from tidemark.sources import urls
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.answer(False)
+
+        def do_GET(self):
+            self.answer(True)
+
+        def answer(self, body):
+            data = open(shelf + "/" + self.path.strip("/").replace("%20", " "), "rb").read()
+            part = data
+            if said := self.headers.get("Range"):
+                a, b = map(int, said.removeprefix("bytes=").split("-"))
+                part = data[a : b + 1]
+            self.send_response(206 if said else 200)
+            self.send_header("Content-Length", str(len(part)))
+            if "c.txt" not in self.path:
+                self.send_header("Accept-Ranges", "bytes")
+            self.end_headers()
+            if body:
+                self.wfile.write(part)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        size = os.path.getsize(f"{shelf}/a.txt")
+        assert [p.chunk_size for p in urls.parts(f"{at}/a.txt", 10_000)] == [None] and urls.parts(f"{at}/c.txt", 10_000, None, 1) == [urls.UrlPart(f"{at}/c.txt", os.path.getsize(f"{shelf}/c.txt"))]
+        assert urls.parts(f"{at}/a.txt", 30_000, 3, 1)[0].chunk_size == 10_000 + size % 3
+        for each in (7_001, size - 1, size):
+            got = b"".join(p.data_stream.read() for p in urls.parts(f"{at}/a.txt", each, None, 1))
+            assert got == open(f"{shelf}/a.txt", "rb").read()
+        futures = pool.map_reduce(lambda url: len(url.data_stream.read().split()), [f"{at}/a.txt", f"{at}/c.txt"], sum, reducer_per_object=True)
+        assert pool.get_result(futures) == [len(open(f"{shelf}/{n}").read().split()) for n in ("a.txt", "c.txt")]
+    finally:
+        server.shutdown()

@@ -56,6 +56,12 @@ def test_merged_bounds(spark):
     got = {how: [r["bound"] for r in ranges.merge_bounds(parts, how).orderBy("place").collect()] for how in ("fold", "mean", "median")}
     assert got["fold"] == [4.5, 25.0] and got["median"] == [3.0, 10.0]
     assert np.allclose(got["mean"], [11 / 3, 20.0])
+    words = spark.createDataFrame([(0, ["b", "x"]), (1, ["a", "z"]), (2, ["c", "y"])], "sampler int, bounds array<string>")
+    got = {how: [r["bound"] for r in ranges.merge_bounds(words, how).orderBy("place").collect()] for how in ("middle", "mean", "median")}
+    assert got == {"middle": ["a", "z"], "mean": ["b", "y"], "median": ["b", "y"]}
+    keys = spark.createDataFrame([(s, float(v)) for s in (0, 1) for v in range(10 * s, 10 * s + 9)], "s int, k double")
+    found = {r["sampler"]: r["bounds"] for r in ranges.sampler_quantiles(keys, F.col("s"), "k", 4).collect()}
+    assert found == {s: np.quantile(np.arange(10 * s, 10 * s + 9), [0.25, 0.5, 0.75]).tolist() for s in (0, 1)}
     assert ranges.with_minimum(["b"], "string") == ["\0", "b"] and ranges.with_minimum([1.0], "double") == [0.0, 1.0]
     with pytest.raises(ValueError):
         ranges.merge_bounds(parts, "other")
@@ -86,6 +92,36 @@ def test_one_key_on_most_rows(spark, tmp_path):
     assert back.count() == 1000 and {r[0] for r in back.select(SEGMENT).distinct().collect()} == {0, 2}
 
 
+def in_order(spark, path, key="k"):
+    """The keys of each written file, as they lie in it."""
+    rows = sort.read_segments(spark, path).orderBy("file", "place").collect()
+    out = {}
+    for r in rows:
+        out.setdefault((r["file"], r[SEGMENT]), []).append(r[key])
+    return list(out.values())
+
+
+def test_written_files_are_sorted(spark, tmp_path):
+    rank = lambda k: (k is None, k is not None and math.isnan(k), 0 if k is None or math.isnan(k) else k)
+    rng = np.random.default_rng(2)
+    keys = [*rng.normal(size=20_000).tolist(), *KEYS * 20]
+    df = spark.createDataFrame([(float(k) if k is not None else None, i) for i, k in enumerate(keys)], "k double, i int").repartition(7)
+    for rule, bounds in (("left", [-1.0, 0.0, 1.0]), ("right", [-1.0, 0.0, 1.0]), ("drop", [-2.0, 0.0, 2.0])):
+        path = f"{tmp_path}/{rule}"
+        sort.write_segments(sort.sort_segments(df, SortSpec("k", bounds=bounds, ties=("i",), rule=rule)), path)
+        files = in_order(spark, path)
+        assert len(files) == len(bounds) - (rule == "drop") and all(list(map(rank, f)) == sorted(map(rank, f)) for f in files)
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    out = sort.with_position(df, SortSpec("k", 8, ties=("i",)))
+    sizes = [r["count"] for r in out.groupBy(SEGMENT).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 25_000
+    got = out.select("k", "i", "position").collect()
+    assert [r["position"] for r in sorted(got, key=lambda r: (r["k"], r["i"]))] == list(range(1, 100_001))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_tables(spark, tmp_path, n):
     df = spark.createDataFrame([(float(i), "x") for i in range(n)], "k double, v string")
@@ -103,6 +139,8 @@ def test_sortedness(spark):
 
 def test_stratified_sample(spark):
     df = spark.range(100_000)
+    near = ranges.stratified_sample(df, 0.01, place="id").withColumn("want", F.expr("id div 12500"))
+    assert near.filter("stratum <> want").count() == 0 and 800 < near.count() < 1200
     n = ranges.stratified_sample(df, 0.01).groupBy("stratum").count().collect()
     assert len(n) == 8 and 800 < sum(r["count"] for r in n) < 1200
     assert ranges.stratified_sample(df, 0.01, seed=3).count() == ranges.stratified_sample(df, 0.01, seed=3).count()

@@ -24,7 +24,7 @@ def test_delimiters_and_missing_cells(spark, tmp_path, mark):
     assert abs(delimited.row_estimate(spark, path) - 21) <= 1
     out = sort.sort(spark, path, 1, ["int32", "float64", "float32"], bounds=[0.0, 4.0], output=f"{tmp_path}/out")
     assert out.count() == 21 and {r[0] for r in spark.read.parquet(f"{tmp_path}/out").select(SEGMENT).distinct().collect()} == {0, 1}
-    for bad in (dict(fmt="imzml"), dict(key=None), dict(key=3)):
+    for bad in (dict(fmt="tsv"), dict(key=None), dict(key=3)):
         with pytest.raises(ValueError):
             sort.sort(spark, path, **({"key": 1, "dtypes": ["int32", "float64", "float32"], "segments": 2} | bad))
 
@@ -63,6 +63,32 @@ def test_spectra_are_read(spark, image, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted((i, m, v) for i, s in enumerate(SPECTRA) for m, v in zip(s[3], s[4]))
 
 
+def test_spectra_without_arrays(spark, image, tmp_path):
+    xml = open(image).read()
+    parts = xml.split("<binaryDataArrayList>")
+    parts[2] = parts[2].partition("</binaryDataArrayList>")[2]  # the second spectrum has none
+    path = str(tmp_path / "j.imzML")
+    open(path, "w").write(parts[0] + "<binaryDataArrayList>" + parts[1] + parts[2] + "<binaryDataArrayList>" + "<binaryDataArrayList>".join(parts[3:]))
+    rows = imzml.read(spark, path, ibd=image.replace(".imzML", ".ibd")).orderBy("idx").collect()
+    assert [(r["x"], r["y"], r["mz"]) for r in rows] == [(1, 1, SPECTRA[0][3]), (2, 1, []), (1, 2, SPECTRA[2][3]), (2, 2, [])]
+
+
+def test_entry_sorts_spectra(spark, image, tmp_path):
+    out = sort.sort(spark, image, segments=2, fmt="imzml", output=f"{tmp_path}/out")
+    assert out.count() == 9
+    files = {}
+    for r in sort.read_segments(spark, f"{tmp_path}/out").orderBy("file", "place").collect():
+        files.setdefault((r["file"], r[SEGMENT]), []).append(r["mz"])
+    assert all(f == sorted(f) for f in files.values()) and sum(map(len, files.values())) == 9
+    sampled = imaging.sort_by_mz(imzml.read(spark, image), 2, how="fold")
+    assert sampled.count() == 9 and imaging.sample_spectra(imzml.read(spark, image), 2).select("group").distinct().count() == 2
+
+
+def test_physical_coordinates(spark, image):
+    r = imaging.physical(imzml.read(spark, image), 50.0, 20.0).orderBy("idx").collect()[2]
+    assert (r["physical_x"], r["physical_y"]) == (50.0, 40.0)
+
+
 def test_offsets_beyond_32_bits():
     big = [16, 2**31 - 8, 2**31 + 100, 2**32 - 4, 2**32 + 50, 2**32 + 2**31 + 9]
     wrapped = [struct.unpack("<i", struct.pack("<I", x % 2**32))[0] for x in big]
@@ -114,5 +140,10 @@ def test_rows_that_arrive(spark, tmp_path):
     out = arrivals.compact(spark, f"{tmp_path}/out", spec)
     counts = {r[SEGMENT]: r["count"] for r in out.groupBy(SEGMENT).count().collect()}
     assert counts == {0: 40, 1: 30, 2: 30}
+    for run in range(2):
+        runs = {}
+        for r in sort.read_segments(spark, f"{tmp_path}/out/batch={run}").orderBy("file", "place").collect():
+            runs.setdefault((r["file"], r[SEGMENT]), []).append(r["k"])
+        assert runs and all(k == sorted(k) for k in runs.values())
     with pytest.raises(ValueError):
         arrivals.write_arriving(stream, SortSpec("k", 3), f"{tmp_path}/o", f"{tmp_path}/s")

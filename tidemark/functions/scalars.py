@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
 def words(text: Column) -> Column:
-    """Parts between white space, no empty ones, case kept."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    """Parts between white space of any script, no empty ones, case kept."""
+    return F.filter(split_words(text), lambda x: x != "")
+
+
+def split_words(text: Column) -> Column:
+    """What ``words`` gives, with an empty part at an end that is white space."""
+    return F.split(text, r"(?U)[\s\x1c-\x1f]+")
 
 
 def readable_size(n: Column) -> Column:
@@ -33,6 +40,17 @@ def log_normal_path(start: float, drift: float, deviation: Column, by: list[str]
     return F.lit(start) * F.exp(F.sum(F.lit(drift) + deviation).over(w))
 
 
+def draw(*key: Column | str) -> Column:
+    """A number in [0, 1), always the same for a key."""
+    parts = [F.lit(k) if isinstance(k, str) else k.cast("string") for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def normal_draw(*key: Column | str) -> Column:
+    """A standard normal number, always the same for a key."""
+    return F.sqrt(-2 * F.log(1 - draw("a", *key))) * F.cos(F.lit(2 * math.pi) * draw("b", *key))
+
+
 def typed(x: Column, to: str) -> Column:
     """Cast to a type, null where the value doesn't fit."""
     return x.try_cast(to)

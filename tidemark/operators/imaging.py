@@ -71,14 +71,29 @@ def to_csv(df: DataFrame, path: str) -> None:
     peaks(df, "idx").sortWithinPartitions("idx").write.option("header", False).csv(path)
 
 
-def sort_by_mz(df: DataFrame, segments: int | None = None, bounds: list | None = None) -> DataFrame:
-    """All peaks as (pixel, mz, intensity), in segments of mz. Without bounds: quantiles of a sample, 0 and 100000 around them; peaks outside are dropped."""
+def sample_spectra(df: DataFrame, groups: int = 8, share: float = 0.01, idx: str = "idx") -> DataFrame:
+    """About ``share`` of the spectra of each of so many ranges of spectra (the column ``group``), by a hash of their number; one of each range at least."""
+    rows = spectrum_groups(df, groups, idx)
+    h = F.pmod(F.xxhash64(F.col(idx)), F.lit(1 << 40))
+    first = rows.groupBy("group").agg(F.min(h).alias("least"))  # one row for each range
+    return rows.withColumn("h", h).join(F.broadcast(first), "group").filter((F.col("h") < share * (1 << 40)) | (F.col("h") == F.col("least"))).drop("h", "least")
+
+
+def sampled_bounds(df: DataFrame, segments: int, groups: int = 8, share: float = 0.01, how: str = "fold") -> list[float]:
+    """Inner bounds of m/z: quantiles of each range's sampled spectra, made one by ``how``."""
+    found = peaks(sample_spectra(df, groups, share), "group")
+    merged = ranges.merge_bounds(ranges.sampler_quantiles(found, F.col("group"), "mz", segments), how)
+    return sorted(r["bound"] for r in merged.filter("bound is not null").collect())
+
+
+def sort_by_mz(df: DataFrame, segments: int | None = None, bounds: list | None = None, how: str | None = None) -> DataFrame:
+    """All peaks as (pixel, mz, intensity), in segments of mz. Without bounds: quantiles of a sample of peaks (with ``how``, of spectra, merged so), 0 and 100000 around them; peaks outside are dropped."""
     rows = peaks(with_pixel(df), "pixel")
     if bounds is None:
         if not segments:
             raise ValueError("bounds or a number of segments are needed")
-        inner = [b for b in ranges.approximate(rows, "mz", segments) if 0.0 < b < 100000.0]
-        bounds = [0.0, *inner, 100000.0]
+        found = sampled_bounds(df, segments, how=how) if how else ranges.approximate(rows, "mz", segments)
+        bounds = [0.0, *[b for b in found if 0.0 < b < 100000.0], 100000.0]
     return sort_segments(rows, SortSpec("mz", bounds=bounds, rule="drop"))
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import concurrent.futures as cf
 import inspect
+import signal
 import traceback
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -18,10 +20,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources import objects
+from tidemark import shared
+from tidemark.operators.store import Storage
+from tidemark.sources import objects, urls
 
 #: Parameter names that the executor fills in.
 RESERVED = ("id", "storage")
+#: Seconds of a call, and bytes of all arguments of a job, that aren't exceeded.
+TIMEOUT, MOST_ARGUMENTS = 595.0, 4 << 20
 ALL, ANY, ALWAYS = "ALL_COMPLETED", "ANY_COMPLETED", "ALWAYS"
 
 
@@ -70,6 +76,44 @@ class Results(cf.Future):
     output = True
 
 
+@dataclass(frozen=True)
+class Calls:
+    """What a function returns to have further calls made for it: its result becomes the list of theirs.
+
+    Functions can't start Spark jobs on executors; the driver makes these calls.
+    """
+
+    func: Callable
+    items: Any
+    extra: Any = None
+
+
+def url_calls(items: Any, chunk_size: int | None = None, chunk_number: int | None = None) -> list[dict]:
+    """A call for each part of the objects at the URLs, in their order. Items may be dicts with ``url`` and further arguments."""
+    items = items if isinstance(items, (list, tuple, set, frozenset)) else [items]
+    given = [x if isinstance(x, dict) else {"url": x[0] if isinstance(x, (list, tuple)) else x} for x in items]
+    with cf.ThreadPoolExecutor(32) as pool:
+        found = list(pool.map(lambda x: urls.parts(x["url"], chunk_size, chunk_number), given))
+    return [x | {"url": p} for x, ps in zip(given, found) for p in ps]
+
+
+def alarmed(seconds: float | None, function: Callable, **given: Any) -> Any:
+    """The function's value, or TimeoutError after so many seconds."""
+    if not seconds:
+        return function(**given)
+
+    def late(*_: Any) -> None:
+        raise TimeoutError(f"function exceeded maximum time of {seconds} seconds")
+
+    was = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return function(**given)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, was)
+
+
 def object_calls(spark: SparkSession, items: Any, chunk_size: int | None = None, chunk_number: int | None = None) -> list[dict]:
     """A call for each part of the objects at the paths or below the prefixes, objects by path and parts in order. Items may be dicts with ``obj`` and further arguments."""
     items = items if isinstance(items, (list, tuple, set, frozenset)) else [items]
@@ -84,7 +128,7 @@ def object_calls(spark: SparkSession, items: Any, chunk_size: int | None = None,
     return out
 
 
-def call_table(spark: SparkSession, func: Callable, calls: list[dict], partitions: int | None = None) -> DataFrame:
+def call_table(spark: SparkSession, func: Callable, calls: list[dict], partitions: int | None = None, storage: Storage | None = None, timeout: float | None = None) -> DataFrame:
     """call long, ok boolean, value binary (pickled result or exception), trace string."""
     wants = [n for n in RESERVED if n in inspect.signature(func).parameters]
     sent = cloudpickle.dumps((func, wants))
@@ -100,8 +144,8 @@ def call_table(spark: SparkSession, func: Callable, calls: list[dict], partition
             out = []
             for i, args in zip(b["call"], b["args"]):
                 try:
-                    fill = {"id": int(i), "storage": None}
-                    value = function(**pickle.loads(args), **{k: fill[k] for k in given})
+                    fill = {"id": int(i), "storage": storage}
+                    value = alarmed(timeout, function, **pickle.loads(args), **{k: fill[k] for k in given})
                     out.append((i, True, cloudpickle.dumps(value), None))
                 except Exception as e:
                     trace = traceback.format_exc()
@@ -119,23 +163,52 @@ def call_table(spark: SparkSession, func: Callable, calls: list[dict], partition
 class Executor:
     """Runs calls; keeps the futures it gave so that ``get_result`` can gather them."""
 
-    def __init__(self, spark: SparkSession, threads: int = 16):
+    def __init__(self, spark: SparkSession, threads: int = 16, timeout: float | None = TIMEOUT, most_arguments: int = MOST_ARGUMENTS):
         self.spark, self.pool = spark, cf.ThreadPoolExecutor(threads)
         self.futures: list[cf.Future] = []
         self.read: set[int] = set()
         self.id = uuid.uuid4().hex
+        self.timeout, self.most_arguments = timeout, most_arguments
+        self.storage = Storage(shared.shared_path(spark, f"objects-{self.id}"))
 
-    def _submit(self, func: Callable, calls: list[dict], throw: bool = True) -> list[cf.Future]:
+    def _rows(self, func: Callable, calls: list[dict]) -> list[tuple[int, bool, Any]]:
+        """(call, ok, result or exception) of every call; calls that a result asks for are made too."""
         import pickle
 
+        try:
+            rows = call_table(self.spark, func, calls, None, self.storage, self.timeout).collect()
+        except Exception as e:  # the worker of a call died again and again: for want of memory, nearly always
+            if any(x in str(e) for x in ("Python worker exited unexpectedly", "OutOfMemoryError", "ExecutorLostFailure", "MemoryError")):
+                raise MemoryError("function exceeded maximum memory and was killed") from e
+            raise
+        return [(r["call"], r["ok"], self._follow(pickle.loads(r["value"])) if r["ok"] else pickle.loads(r["value"])) for r in rows]
+
+    def _follow(self, value: Any) -> Any:
+        """The value; the results of the calls that it asks for; what a future in it gives."""
+        if isinstance(value, Calls):
+            out = [None] * len(calls := self._calls(value.func, value.items, value.extra, None, None))
+            for i, ok, x in self._rows(value.func, calls):
+                if not ok:
+                    raise x
+                out[i] = x
+            return out
+        if isinstance(value, cf.Future):
+            return self._follow(value.result())
+        if isinstance(value, list) and any(isinstance(x, (Calls, cf.Future)) for x in value):
+            return [self._follow(x) for x in value]
+        return value
+
+    def _submit(self, func: Callable, calls: list[dict], throw: bool = True, guard: bool = True) -> list[cf.Future]:
+        size = sum(len(cloudpickle.dumps(c)) for c in calls)
+        if guard and size > self.most_arguments:
+            raise ValueError(f"{size} bytes of arguments, {self.most_arguments} are allowed: put them into the storage, or map a table")
         futures: list[cf.Future] = [Results() for _ in calls]
 
         def job() -> None:
             try:
-                for r in call_table(self.spark, func, calls).collect():
-                    value = pickle.loads(r["value"])
-                    f = futures[r["call"]]
-                    if r["ok"]:
+                for call, ok, value in self._rows(func, calls):
+                    f = futures[call]
+                    if ok:
                         f.set_result(value)
                     elif throw:
                         f.set_exception(value)
@@ -155,18 +228,19 @@ class Executor:
         return self._submit(func, bind(func, [items] if isinstance(items, dict) else items), throw)[0]
 
     def _calls(self, func: Callable, items: Any, extra: Any, chunk_size: int | None, chunk_number: int | None) -> list[dict]:
-        if "obj" not in inspect.signature(func).parameters:
+        names = inspect.signature(func).parameters
+        if "obj" not in names and "url" not in names:
             return bind(func, items, extra)
         if extra is not None and not isinstance(extra, dict):
             raise TypeError("extra parameters must be a dict where the items are objects")
-        calls = object_calls(self.spark, items, chunk_size, chunk_number)
+        calls = object_calls(self.spark, items, chunk_size, chunk_number) if "obj" in names else url_calls(items, chunk_size, chunk_number)
         return bind(func, calls, extra)
 
     def map(self, func: Callable, items: Any, extra: Any = None, throw: bool = True, chunk_size: int | None = None, chunk_number: int | None = None) -> list[cf.Future] | cf.Future:
         """One call for each item; futures in the items' order, one alone for a single item.
 
         Of a function with a parameter ``obj`` the items are paths or prefixes,
-        and each part of each object is a call.
+        of one with ``url`` they are URLs, and each part of each object is a call.
         """
         futures = self._submit(func, self._calls(func, items, extra, chunk_size, chunk_number), throw)
         return futures[0] if len(futures) == 1 else futures
@@ -178,9 +252,9 @@ class Executor:
         """
         calls = self._calls(func, items, extra, chunk_size, chunk_number)
         if reducer_per_object:
-            if any("obj" not in c for c in calls):
-                raise ValueError("a reducer for each object needs a function of obj")
-            groups = [c["obj"].path for c in calls]
+            if any("obj" not in c and "url" not in c for c in calls):
+                raise ValueError("a reducer for each object needs a function of obj or url")
+            groups = [(c.get("obj") or c.get("url")).path for c in calls]
         if groups and len(groups) != len(calls):
             raise ValueError(f"{len(groups)} group names for {len(calls)} calls")
         names = list(dict.fromkeys(groups)) if groups else [None]
@@ -210,16 +284,15 @@ class Executor:
         return [*mapped, *out]
 
     def spark_results(self, func: Callable, lists: list[list]) -> list:
-        import pickle
-
-        name = next(iter(inspect.signature(func).parameters))
-        rows = call_table(self.spark, func, [{name: x} for x in lists]).collect()
+        first = next(iter(inspect.signature(func).parameters.values()))
+        name = first.name
+        if first.kind is first.POSITIONAL_ONLY:  # builtins like sum
+            name, func = "results", lambda results, reducer=func: reducer(results)
         out = [None] * len(lists)
-        for r in rows:
-            value = pickle.loads(r["value"])
-            if not r["ok"]:
+        for call, ok, value in self._rows(func, [{name: x} for x in lists]):
+            if not ok:
                 raise value
-            out[r["call"]] = value
+            out[call] = value
         return out
 
     def wait(self, futures: Iterable[cf.Future] | None = None, return_when: str = ALL, timeout: float | None = None) -> tuple[list, list]:
@@ -236,13 +309,16 @@ class Executor:
         else:
             fs = [futures] if isinstance(futures, cf.Future) else list(futures)
         fs = [f for f in fs if getattr(f, "output", True)]
-        out = [f.result(timeout) for f in fs]
+        out = [self._follow(f.result(timeout)) for f in fs]
         self.read |= {id(f) for f in fs}
         return out[0] if len(fs) == 1 else [x for x in out if x is not None]
 
-    def clean(self) -> None:
-        self.futures.clear()
-        self.read.clear()
+    def clean(self, prefix: str | None = None) -> int:
+        """Forget the futures and delete the values that calls put down, or else what lies below a path prefix; how many files and folders went."""
+        if prefix is None:
+            self.futures.clear()
+            self.read.clear()
+        return shared.delete_prefix(self.spark, prefix or self.storage.root)
 
 
 def map_parts(parts: DataFrame, func: Callable, returns: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Global sort into key segments: one shuffle by segment, a sort in each, one file for each."""
+"""Global sort into key segments: one shuffle by segment, a sort in each, sorted files for each."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import shared
 from tidemark.operators import ranges
 from tidemark.sources import delimited
 
@@ -54,31 +55,73 @@ def sort_segments(df: DataFrame, spec: SortSpec) -> DataFrame:
         raise ValueError(f"no column {spec.key!r}")
     bounds = bounds_of(df, spec)
     n = max(1, len(bounds) - (spec.rule == "drop"))
-    return with_segment(df, spec, bounds).repartitionById(n, F.col(SEGMENT)).sortWithinPartitions(*order(spec))
+    # the segment leads the order, so that a write in folders of segments keeps the sort instead of doing one of its own
+    return with_segment(df, spec, bounds).repartitionById(n, F.col(SEGMENT)).sortWithinPartitions(F.col(SEGMENT), *order(spec))
 
 
 def with_position(df: DataFrame, spec: SortSpec, name: str = "position") -> DataFrame:
-    """The rows with their place (from 1) in the global sort: numbers within segments, moved up by the segments before."""
-    rows = with_segment(df, spec, bounds_of(df, spec))
-    counts = rows.groupBy(SEGMENT).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)  # one row for each segment
-    starts = counts.select(SEGMENT, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy(SEGMENT).orderBy(*order(spec))).cast("long")
-    return rows.withColumn(name, place).join(F.broadcast(starts), SEGMENT).withColumn(name, F.col(name) + F.col("start")).drop("start")
+    """The rows with their place (from 1) in the global sort, and their segment.
+
+    Rows are dealt by ranges of the whole order (segment, key, ties), so a key
+    that most rows share is spread over tasks by its ties; the dealt and sorted
+    rows are written once with their place in their partition, which the counts
+    of the partitions before move up. One shuffle, no task for a key or segment.
+    Rows equal in all of the order are numbered in any order. Without bounds
+    the partitions are the segments.
+    """
+    if spec.key not in df.columns:
+        raise ValueError(f"no column {spec.key!r}")
+    spark = df.sparkSession
+    lead = []
+    rows = df
+    if spec.bounds is not None:
+        rows, lead = with_segment(df, spec, bounds_of(df, spec)), [F.col(SEGMENT)]
+    elif not spec.segments or spec.segments < 1:
+        raise ValueError("bounds or a number of segments are needed")
+    by = [*lead, *order(spec)]
+    n = max(spec.segments or 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+    dealt = shared.materialise(dealt, "sorted")
+    part = F.shiftright(F.col(name), 33)
+    counts = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    out = dealt.withColumn("part", part).join(shared.small(starts, n), "part")
+    place = F.col("start") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    segment = F.col(SEGMENT) if lead else F.col("part").cast("int").alias(SEGMENT)
+    return out.select(*[F.col(c) for c in df.columns if c != name], segment, place.alias(name))
 
 
 def write_segments(sorted_rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One file in a folder of its own for each segment that has rows."""
+    """Sorted files in a folder of its own for each segment that has rows, one for each. sorted_rows: of ``sort_segments``."""
     sorted_rows.write.partitionBy(SEGMENT).format(fmt).save(path)
 
 
-def sort(spark: SparkSession, path: str, key: int, dtypes: list[str], segments: int | None = None, bounds: list | None = None, delimiter: str | None = None, output: str | None = None, fmt: str = "csv") -> DataFrame:
-    """Sort a delimited dataset by one column; writes it too if ``output`` is given."""
-    if fmt != "csv":
+def read_segments(spark: SparkSession, path: str, schema=None, fmt: str = "parquet") -> DataFrame:
+    """The written rows with their segment, file and place in it: the order that the files hold."""
+    reader = spark.read.format(fmt)
+    rows = (reader.schema(schema) if schema else reader).load(path)
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0)
+    return rows.select("*", file.alias("file"), F.col("_metadata.row_index").alias("place")) if fmt == "parquet" else rows
+
+
+def sort(spark: SparkSession, path: str, key: int | None = None, dtypes: list[str] | None = None, segments: int | None = None, bounds: list | None = None, delimiter: str | None = None, output: str | None = None, fmt: str = "csv", **options) -> DataFrame:
+    """Sort a dataset; writes it too if ``output`` is given.
+
+    ``csv``: delimited files by the column number ``key``. ``imzml``: the peaks
+    of spectra by m/z; ``options`` are those of ``imzml.read``.
+    """
+    if fmt == "imzml":
+        from tidemark.operators import imaging
+        from tidemark.sources import imzml
+
+        out = imaging.sort_by_mz(imzml.read(spark, path, **options), segments, bounds)
+    elif fmt == "csv":
+        if key is None or not dtypes or not 0 <= key < len(dtypes):
+            raise ValueError("a key column is needed")
+        out = sort_segments(delimited.read(spark, path, dtypes, delimiter), SortSpec(str(key), segments, bounds))
+    else:
         raise ValueError(f"unknown format {fmt!r}")
-    if key is None or not 0 <= key < len(dtypes):
-        raise ValueError("a key column is needed")
-    out = sort_segments(delimited.read(spark, path, dtypes, delimiter), SortSpec(str(key), segments, bounds))
     if output:
         write_segments(out, output)
     return out

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import shared
 from tidemark.functions import scalars
 from tidemark.operators import imaging, mapreduce, ranges, sort
 from tidemark.operators.sort import SortSpec
 from tidemark.plans import planner
-from tidemark.sources import objects, teragen
+from tidemark.sources import delimited, objects, randombytes, teragen
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,6 +67,19 @@ def sort_segments_explicit(spark, lineitem):
     return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
 
 
+@query(
+    f"""SELECT CAST({SEGMENT_SQL.format(k="l_extendedprice")} AS INTEGER) AS segment, {TIES_SQL}, l_extendedprice,
+    row_number() OVER (PARTITION BY {SEGMENT_SQL.format(k="l_extendedprice")} ORDER BY l_extendedprice, {TIES_SQL}) AS place FROM lineitem""",
+    "lineitem",
+)
+def sort_written_files(spark, lineitem):
+    """The rows of sorted files as they lie in them."""
+    path = shared.shared_path(spark, "segments")
+    sort.write_segments(sort.sort_segments(lineitem.select(*TIES, "l_extendedprice"), SortSpec("l_extendedprice", 5, PRICES, TIES)), path)
+    rows = sort.read_segments(spark, path)
+    return rows.select("segment", *TIES, "l_extendedprice", (F.col("place") + 1).alias("place"))
+
+
 @query(
     """SELECT segment, count(*) AS n_rows, min(l_quantity) AS low, max(l_quantity) AS high FROM (
     SELECT CAST(CASE WHEN l_quantity < 5 OR l_quantity > 40 THEN 3 WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 25 THEN 1 ELSE 2 END AS INTEGER) AS segment, l_quantity FROM lineitem) GROUP BY segment""",
@@ -101,10 +116,25 @@ def segments_imzml_bounds(spark, embeddings):
     return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"), F.min("intensity").alias("low"), F.max("intensity").alias("high"))
 
 
+@query(
+    f"""SELECT segment, count(*) AS n_rows, min(mz) AS low, max(mz) AS high, CAST(sum(pixel) AS BIGINT) AS pixels, true AS in_order FROM (
+    SELECT CAST(CASE WHEN place >= 40 THEN 2 WHEN place >= 20 THEN 1 ELSE 0 END AS INTEGER) AS segment, CAST(place AS DOUBLE) AS mz, vec_id AS pixel FROM ({PEAKS_SQL}) WHERE place >= 5 AND place < 60) GROUP BY segment""",
+    "embeddings",
+)
+def sort_by_mz(spark, embeddings):
+    """Peaks in written segments of m/z, and whether each file is in order."""
+    path = shared.shared_path(spark, "peaks")
+    sort.write_segments(imaging.sort_by_mz(spectra(embeddings), bounds=[5.0, 20.0, 40.0, 60.0]), path)
+    rows = sort.read_segments(spark, path)
+    was = F.lag("mz").over(Window.partitionBy("segment", "file").orderBy("place"))
+    rows = rows.withColumn("ok", F.coalesce(F.col("mz") >= was, F.lit(True)))
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"), F.min("mz").alias("low"), F.max("mz").alias("high"), F.sum("pixel").alias("pixels"), F.bool_and("ok").alias("in_order"))
+
+
 @query("SELECT CAST(i - 1 AS BIGINT) AS place, round(b, 6) AS bound FROM (SELECT unnest(range(1, 8)) AS i, unnest(quantile_cont(l_extendedprice, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS b FROM lineitem)", "lineitem")
 def bounds_exact_quantiles(spark, lineitem):
-    got = lineitem.agg(F.percentile("l_extendedprice", F.array(*map(F.lit, ranges.fractions(8)))).alias("b"))
-    return got.select(F.posexplode("b").alias("place", "bound")).select(F.col("place").cast("long").alias("place"), F.round("bound", 6).alias("bound"))
+    got = ranges.quantiles(lineitem.select("l_extendedprice"), "l_extendedprice", 8)
+    return spark.createDataFrame(list(enumerate(got)), "place long, bound double").withColumn("bound", F.round("bound", 6))
 
 
 @query(
@@ -143,6 +173,25 @@ def bounds_merge_median(spark, lineitem):
     return ranges.merge_bounds(sampled(lineitem), "median").select("place", F.round("bound", 4).alias("bound"))
 
 
+WORD_SAMPLERS_SQL = "SELECT p_partkey % 5 AS s, list(p_name ORDER BY p_name) AS b, count(*) AS m FROM part GROUP BY 1"
+WORD_BOUNDS_SQL = f"SELECT s, CAST(k - 1 AS BIGINT) AS place, b[CAST(floor(k / 4.0 * m) AS BIGINT) + 1] AS x FROM ({WORD_SAMPLERS_SQL}), (SELECT unnest(range(1, 4)) AS k)"
+
+
+@query(f"SELECT place, list(x ORDER BY s)[3] AS bound, list(x ORDER BY x)[3] AS middle FROM ({WORD_BOUNDS_SQL}) GROUP BY place", "part")
+def bounds_merge_string(spark, part):
+    """String bounds of samplers made one: the middle sampler's, and the middle of all."""
+    parts = ranges.sampler_quantiles(part, F.col("p_partkey") % 5, "p_name", 4)
+    return ranges.merge_bounds(parts, "middle").join(ranges.merge_bounds(parts, "median").withColumnRenamed("bound", "middle"), "place")
+
+
+@query("SELECT seg AS segment, count(*) AS n_rows FROM (SELECT CASE WHEN place >= 49 THEN 3 WHEN place >= 33 THEN 2 WHEN place >= 17 THEN 1 ELSE 0 END AS seg FROM (" + PEAKS_SQL + ")) GROUP BY seg", "embeddings")
+def imzml_sampled_bounds(spark, embeddings):
+    """Bounds from sampled spectra of each range, folded; every spectrum has the m/z 1 to 64 here, so the bounds are theirs."""
+    rows = imaging.peaks(spectra(embeddings))
+    bounds = imaging.sampled_bounds(spectra(embeddings), 4)
+    return rows.groupBy(ranges.segment(F.col("mz"), [None, *bounds]).alias("segment")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     f"SELECT max(n) AS most, round(avg(n), 4) AS mean, round(max(n) / avg(n), 6) AS balance FROM (SELECT {SEGMENT_SQL.format(k='l_extendedprice')} AS s, count(*) AS n FROM lineitem GROUP BY 1)",
     "lineitem",
@@ -204,11 +253,47 @@ def url_split(spark, pages):
     return pages.select("page_id", objects.split_url(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
-@query("SELECT source, count(*) AS n_rows, CAST(round(sum(n_chars + 1) / (sum(n_chars + 1) / count(*))) AS BIGINT) AS estimate FROM documents GROUP BY source", "documents")
-def row_estimate(spark, documents):
-    size = F.sum(F.col("n_chars") + 1)
-    rows = documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), size.alias("b"), F.avg(F.col("n_chars") + 1).alias("each"))
-    return rows.select("source", "n_rows", F.round(F.col("b") / F.col("each")).cast("long").alias("estimate"))
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS estimate, CAST(100 * count(*) AS BIGINT) AS size FROM orders", "orders")
+def row_estimate(spark, orders):
+    """Rows of equal length, as many as orders: the estimate from the first rows is exact."""
+    path, n = shared.shared_path(spark, "rows"), orders.count()
+    teragen.write(spark, n, path)
+    return spark.createDataFrame([(n, delimited.row_estimate(spark, path), delimited.size(spark, path))], "n_rows long, estimate long, size long")
+
+
+def as_csv(df: DataFrame, mark: str) -> str:
+    path = shared.shared_path(df.sparkSession, "csv")
+    df.write.option("sep", mark).option("header", False).csv(path)
+    return path
+
+
+@query(
+    """SELECT l_linenumber AS line, count(*) AS n, round(sum(l_extendedprice), 2) AS price, round(sum(CAST(l_quantity AS FLOAT)), 2) AS quantity, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1""",
+    "lineitem",
+)
+def csv_scan(spark, lineitem):
+    """A header-less delimited dataset, its delimiter found from the first rows."""
+    path = as_csv(lineitem.select("l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"), ";")
+    rows = delimited.read(spark, path, ["int32", "float64", "float32", "str"])
+    return rows.groupBy(F.col("0").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("1"), 2).alias("price"), F.round(F.sum("2"), 2).alias("quantity"), F.count_distinct("3").alias("flags"))
+
+
+@query("SELECT * FROM (VALUES (';'), (','), (':')) t(delimiter)", "supplier")
+def delimiter_sniff(spark, supplier):
+    found = [delimited.sniff(spark, as_csv(supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), m)) for m in ";,:"]
+    return spark.createDataFrame([(x,) for x in found], "delimiter string")
+
+
+@query(
+    """SELECT count(*) AS n_rows, min(k) AS low, max(k) AS high FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS k FROM lineitem WHERE l_extendedprice >= 10000)
+    UNION ALL SELECT count(*), min(l_extendedprice), max(l_extendedprice) FROM lineitem WHERE l_extendedprice < 10000""",
+    "lineitem",
+)
+def sort_entry(spark, lineitem):
+    """The entry point on a delimited dataset, written and read again."""
+    path, out = as_csv(lineitem.select("l_orderkey", "l_extendedprice"), ","), shared.shared_path(spark, "sorted")
+    sort.sort(spark, path, 1, ["int64", "float64"], bounds=[0.0, 10_000.0], output=out)
+    return spark.read.parquet(out).groupBy(sort.SEGMENT).agg(F.count(F.lit(1)).alias("n_rows"), F.min("1").alias("low"), F.max("1").alias("high")).drop(sort.SEGMENT)
 
 
 WORDS_SQL = r"SELECT {c}, unnest(regexp_split_to_array(text, '\s+')) AS word FROM {t}"
@@ -216,7 +301,8 @@ WORDS_SQL = r"SELECT {c}, unnest(regexp_split_to_array(text, '\s+')) AS word FRO
 
 @query(f"SELECT word, count(*) AS n FROM ({WORDS_SQL.format(c='doc_id', t='documents')}) WHERE word <> '' GROUP BY word", "documents")
 def word_count(spark, documents):
-    return documents.select(F.explode(scalars.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = documents.select(F.explode(scalars.split_words(F.col("text"))).alias("word")).filter("word <> ''")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT conv_id, count(*) AS words FROM ({WORDS_SQL.format(c='conv_id', t='conversations')}) WHERE word <> '' GROUP BY conv_id", "conversations")
@@ -225,6 +311,46 @@ def word_total_per_object(spark, conversations):
     return rows.groupBy("conv_id").agg(F.sum("n").alias("words"))
 
 
+def count_words(obj):
+    return Counter(w for line in obj.data_stream for w in line.decode().split())
+
+
+def total(results):
+    return sum(sum(c.values()) for c in results)
+
+
+@query(f"SELECT source AS object, count(*) AS words FROM ({WORDS_SQL.format(c='source', t='documents')}) WHERE word <> '' GROUP BY source ORDER BY source LIMIT 5", "documents")
+def map_reduce_per_object(spark, documents):
+    """Calls over byte ranges of objects, and a reducer for each object."""
+    path = shared.shared_path(spark, "objects")
+    first = [r[0] for r in documents.select("source").distinct().orderBy("source").limit(5).collect()]
+    rows = documents.filter(F.col("source").isin(first)).select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value"), "source")
+    rows.repartition("source").write.partitionBy("source").text(path)
+    pool = mapreduce.Executor(spark)
+    found = sorted(r["path"] for r in objects.list_objects(spark, path).collect())
+    sums = pool.get_result(pool.map_reduce(count_words, found, total, chunk_size=20_000, reducer_per_object=True))
+    names = [p.rpartition("/source=")[2].partition("/")[0] for p in found]
+    return spark.createDataFrame(list(zip(names, sums)), "object string, words long").groupBy("object").agg(F.sum("words").alias("words"))
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT)), (1, 1), (2, 4), (3, 9)) t(x, square)")
+def stored_objects(spark):
+    """Values put down by calls and taken up by others."""
+    pool = mapreduce.Executor(spark)
+    put = pool.get_result(pool.map(lambda x, storage: storage.put_object(x * x), range(4)))
+    got = pool.get_result(pool.map(lambda stored, storage: storage.get_object(stored), put))
+    pool.clean()
+    return spark.createDataFrame(list(enumerate(got)), "x long, square long")
+
+
+@query("SELECT CAST(range + 1 AS BIGINT) AS x, CAST(0 AS BIGINT) AS first, CAST(range + 1 AS BIGINT) AS n FROM range(3)")
+def nested_calls(spark):
+    """Calls that ask for calls, which the driver makes."""
+    pool = mapreduce.Executor(spark)
+    got = pool.get_result(pool.map(lambda x: mapreduce.Calls(lambda y: y, list(range(x))), range(1, 4)))
+    return spark.createDataFrame([(i + 1, min(v), len(v)) for i, v in enumerate(got)], "x long, first long, n long")
+
+
 @query("SELECT o_orderpriority, CAST(sum(o_custkey * 2 + 1) AS BIGINT) AS total FROM orders GROUP BY 1", "orders")
 def map_sum_reduce(spark, orders):
     rows = mapreduce.map_rows(orders, lambda x: int(x) * 2 + 1, ["o_custkey"], "long", "mapped")
@@ -327,13 +453,22 @@ def straggler_pick(spark, events):
 
 
 @query(
-    """SELECT r AS repeated, f AS finished, CASE WHEN r > 10 THEN 'too many repeated' WHEN r >= 10 THEN 'share repeated' WHEN 100 - f <= 0 THEN 'all finished'
-    WHEN 100 - f < 20 THEN 'few left' WHEN 100 - f < 7 THEN 'under seven left' ELSE 'go on' END AS verdict
-    FROM (SELECT range AS r FROM range(13)), (SELECT range AS f FROM range(0, 101, 5))"""
+    """SELECT r AS repeated, n AS total, f AS finished, CASE WHEN r > 10 THEN 'too many repeated' WHEN 10 * r >= n THEN 'share repeated' WHEN n - f <= 0 THEN 'all finished'
+    WHEN 5 * (n - f) < n THEN 'few left' WHEN n - f < 7 THEN 'under seven left' ELSE 'go on' END AS verdict
+    FROM (SELECT range AS r FROM range(13)), (SELECT unnest([20, 100]) AS n), (SELECT range AS i FROM range(21)), LATERAL (SELECT CAST(i * n // 20 AS BIGINT) AS f)"""
 )
 def stop_rule(spark):
-    grid = spark.range(13 * 21).select((F.col("id") % 13).alias("repeated"), (F.expr("id div 13") * 5).alias("finished"))
-    return grid.withColumn("verdict", planner.stop_rule(F.col("repeated"), F.lit(100), F.col("finished")))
+    grid = spark.range(13 * 21 * 2).select((F.col("id") % 13).alias("repeated"), F.expr("if(id div 273 = 0, 20, 100)").alias("total"), F.expr("(id div 13) % 21").alias("i"))
+    grid = grid.select("repeated", "total", F.expr("i * total div 20").alias("finished"))
+    return grid.withColumn("verdict", planner.stop_rule(F.col("repeated"), F.col("total"), F.col("finished")))
+
+
+@query("SELECT n, CAST(n AS DOUBLE) > 0.2 * 20 AS picked FROM (SELECT unnest([3, 4, 5, 9]) AS n)", "events")
+def straggler_eligibility(spark, events):
+    """A task is picked only once over a fifth of a job's tasks (20 here) have reported."""
+    one = tasks(events).filter("not repeated and progress < 1").orderBy("task").limit(9)
+    rows = [(n, planner.pick_straggler(one.orderBy("task").limit(n).withColumn("elapsed", F.lit(100.0)), 20).count() == 1) for n in (3, 4, 5, 9)]
+    return spark.createDataFrame(rows, "n int, picked boolean")
 
 
 @query(
@@ -400,21 +535,44 @@ def spectrum_ranges(spark, events):
     return imaging.spectrum_groups(rows, 7).groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
 
 
-@query()
+DRAW_SQL = "(CAST('0x' || substr(md5({k}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+POINTS = 500_000
+
+
+@query(f"SELECT 4.0 * avg(CASE WHEN pow({DRAW_SQL.format(k="'x:' || id")}, 2) + pow({DRAW_SQL.format(k="'y:' || id")}, 2) <= 1 THEN 1 ELSE 0 END) AS pi FROM (SELECT range AS id FROM range({POINTS}))")
 def pi_estimate(spark):
-    points = spark.range(2_000_000).select((F.pow(F.rand(1), 2) + F.pow(F.rand(2), 2) <= 1).cast("double").alias("hit"))
-    return points.agg((4 * F.avg("hit")).alias("pi"))
+    inside = F.pow(scalars.draw("x", F.col("id")), 2) + F.pow(scalars.draw("y", F.col("id")), 2) <= 1
+    return spark.range(POINTS).agg((4 * F.avg(inside.cast("double"))).alias("pi"))
+
+
+NORMAL_SQL = f"sqrt(-2 * ln(1 - {DRAW_SQL.format(k="'a:' || forecast || ':' || day")})) * cos(2 * pi() * {DRAW_SQL.format(k="'b:' || forecast || ':' || day")})"
 
 
-@query()
+@query(f"SELECT forecast, round(100.0 * exp(sum(0.0002 + 0.01 * {NORMAL_SQL})), 6) AS price FROM (SELECT range AS forecast FROM range(100)), (SELECT unnest(range(1, 366)) AS day) GROUP BY forecast")
 def stock_forecast(spark):
     days = spark.range(100).select(F.col("id").alias("forecast"), F.explode(F.sequence(F.lit(1), F.lit(365))).alias("day"))
-    days = days.withColumn("price", scalars.log_normal_path(100.0, 0.0002, 0.01 * F.randn(3), ["forecast"], "day"))
+    step = 0.01 * scalars.normal_draw(F.col("forecast"), F.col("day"))
+    days = days.withColumn("price", scalars.log_normal_path(100.0, 0.0002, step, ["forecast"], "day"))
     w = Window.partitionBy("forecast")
-    return days.withColumn("last", F.max("day").over(w)).filter("day = last").select("forecast", "price")
+    return days.withColumn("last", F.max("day").over(w)).filter("day = last").select("forecast", F.round("price", 6).alias("price"))
+
+
+@query(
+    f"""SELECT (o_orderkey - low) * 8 // (high - low + 1) AS stratum, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total
+    FROM orders, (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders) WHERE {DRAW_SQL.format(k="'sample:' || o_orderkey")} < 0.05 GROUP BY 1""",
+    "orders",
+)
+def stratified_sample(spark, orders):
+    rows = ranges.stratified_sample(orders.select("o_orderkey"), 0.05, 8, place="o_orderkey", draw=scalars.draw("sample", F.col("o_orderkey")))
+    return rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
+@query("SELECT range AS block, CASE WHEN range < 3 THEN 65536 ELSE 1000 END AS bytes FROM range(4)")
+def random_blocks(spark):
+    return randombytes.blocks(spark, 3 * 65_536 + 1000, 7, 65_536).select("block", F.octet_length("data").alias("bytes"))
 
 
-@query()
-def stratified_sample(spark, *_):
-    rows = spark.range(100_000)
-    return ranges.stratified_sample(rows, 0.01, 8, 5).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT unnest([1, 2]) AS workers, true AS positive")
+def probe_table(spark):
+    rates = planner.probe_storage(spark, shared.shared_path(spark, "probe"), [1, 2], 1)
+    return rates.select("workers", (F.least("read_bw", "write_bw", "read_ops", "write_ops") > 0).alias("positive"))

@@ -47,6 +47,32 @@ def throughput(probes: DataFrame) -> DataFrame:
     return probes.groupBy("workers").agg(F.sum("rate").alias("total"))
 
 
+def probe_storage(spark: SparkSession, path: str, workers: list[int], mb: int = 4) -> DataFrame:
+    """workers, read_bw, write_bw, read_ops, write_ops: bytes and files a second of so many tasks together, from files written to and read from ``path``.
+
+    The path is left empty. The table is what ``worker_curve`` takes its rates from; keep it with ``write``.
+    """
+    import time
+
+    from tidemark import shared
+    from tidemark.sources import randombytes
+
+    rows = []
+    for n in workers:
+        at, size = f"{path}/probe-{n}", n * mb << 20
+        took = []
+        for job in (
+            lambda: randombytes.blocks(spark, size).repartition(n).write.mode("overwrite").option("compression", "none").parquet(at),  # noqa: B023
+            lambda: spark.read.parquet(at).select(F.sum(F.octet_length("data"))).collect(),  # noqa: B023
+        ):
+            start = time.time()
+            job()
+            took.append(max(time.time() - start, 1e-6))
+        shared.delete(spark, at)
+        rows.append((n, size / took[1], size / took[0], n / took[1], n / took[0]))
+    return spark.createDataFrame(rows, "workers int, read_bw double, write_bw double, read_ops double, write_ops double")
+
+
 def remaining(progress: Column, elapsed: Column) -> Column:
     """Seconds left at the speed so far; 0 when finished, null when nothing is done."""
     return F.when(progress >= 1, F.lit(0.0)).when(progress > 0, (1 - progress) / (progress / elapsed))
@@ -56,8 +82,15 @@ def threshold(newest: Column) -> Column:
     return F.greatest(THRESHOLD_SHARE * newest, F.lit(LEAST_THRESHOLD))
 
 
-def pick_straggler(tasks: DataFrame) -> DataFrame:
-    """tasks: task, progress, elapsed, repeated boolean. The task to repeat, if any: the longest left of those in the lowest fifth of progress, after a while, neither finished nor repeated."""
+def pick_straggler(tasks: DataFrame, total: int | None = None) -> DataFrame:
+    """tasks: task, progress, elapsed, repeated boolean. The task to repeat, if any: the longest left of those in the lowest fifth of progress, after a while, neither finished nor repeated.
+
+    With ``total``, the number of tasks of the job, none is picked before enough of them have reported.
+    """
+    if total is not None:
+        seen = tasks.agg(F.count(F.lit(1)).alias("seen"))
+        tasks = tasks.join(F.broadcast(seen.filter(may_repeat(F.col("seen"), F.lit(total))))).drop("seen")
+    # one row for each task of a job
     stats = tasks.agg(F.percentile("progress", F.lit(PROGRESS_QUANTILE)).alias("q"), F.max("elapsed").alias("newest"))
     rows = tasks.join(F.broadcast(stats)).withColumn("left", remaining(F.col("progress"), F.col("elapsed")))
     slow = rows.filter((F.col("progress") < F.col("q")) & (F.col("progress") < 1) & ~F.col("repeated") & (F.col("elapsed") >= threshold(F.col("newest"))))

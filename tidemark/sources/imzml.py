@@ -43,8 +43,8 @@ class Layout:
     """What the XML says: for each spectrum coordinates, offsets and lengths of both arrays; types; scalars."""
 
     coordinates: list[tuple[int, int, int]] = field(default_factory=list)
-    mz: list[tuple[int, int]] = field(default_factory=list)
-    intensity: list[tuple[int, int]] = field(default_factory=list)
+    mz: list[tuple[int, int] | None] = field(default_factory=list)
+    intensity: list[tuple[int, int] | None] = field(default_factory=list)
     mz_type: str = "d"
     intensity_type: str = "f"
     meta: dict[str, float] = field(default_factory=dict)
@@ -68,7 +68,12 @@ def parse(path: str) -> Layout:
     layout, groups = Layout(), {}
     kinds: dict[str, str] = {}
     with open_file(path) as f:
-        for _, e in ET.iterparse(f):
+        above: list[ET.Element] = []
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
             tag = local(e.tag)
             if tag == "referenceableParamGroup":
                 names = {c.get("accession") for c in e if local(c.tag) == "cvParam"}
@@ -84,10 +89,11 @@ def parse(path: str) -> Layout:
                         layout.meta.setdefault(name, float(e.get("value")))
             elif tag == "spectrum":
                 spectrum(e, layout, kinds)
-                e.clear()
+                above[-1].remove(e)  # nothing of a read spectrum stays
     for name in ("mz", "intensity"):
         arrays = getattr(layout, name)
-        setattr(layout, name, list(zip(unwrapped([o for o, _ in arrays]), [n for _, n in arrays])))
+        known = iter(unwrapped([a[0] for a in arrays if a]))
+        setattr(layout, name, [(next(known), a[1]) if a else (0, 0) for a in arrays])
     return layout
 
 
@@ -104,11 +110,15 @@ def spectrum(e: ET.Element, layout: Layout, kinds: dict[str, str]) -> None:
                 ids[key].append(c.get(name))
     layout.coordinates.append((at[POSITION_X], at[POSITION_Y], 1 if at[POSITION_Z] is None else at[POSITION_Z]))
     layout.groups.append(ids)
+    found: dict[str, tuple[int, int]] = {}  # a spectrum without an array has an empty one
     for array in (c for c in e.iter() if local(c.tag) == "binaryDataArray"):
         value = {c.get("accession"): c.get("value") for c in array if local(c.tag) == "cvParam"}
         refs = [c.get("ref") for c in array if local(c.tag) == "referenceableParamGroupRef"]
         kind = next((kinds[r] for r in refs if r in kinds), "mz" if MZ_ARRAY in value else "intensity")
-        getattr(layout, kind).append((int(value[OFFSET]), int(value[LENGTH])))
+        if value.get(OFFSET) is not None and value.get(LENGTH) is not None:
+            found[kind] = (int(value[OFFSET]), int(value[LENGTH]))
+    layout.mz.append(found.get("mz"))
+    layout.intensity.append(found.get("intensity"))
 
 
 def array_at(f, offset: int, length: int, code: str) -> np.ndarray:

@@ -9,7 +9,7 @@ from tidemark.operators.sort import SEGMENT, SortSpec, sort_segments
 
 
 def write_arriving(stream: DataFrame, spec: SortSpec, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch as sorted runs, one folder a batch and segment; a batch that is run again replaces its own."""
+    """Append each batch as sorted runs, one file in a folder of its own for each batch and segment; a batch that is run again replaces its own."""
     if spec.bounds is None:
         raise ValueError("a stream needs given bounds")
 

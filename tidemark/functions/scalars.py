@@ -8,6 +8,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
+#: White space of any script.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+
+
 def words(text: Column) -> Column:
     """Parts between white space of any script, no empty ones, case kept."""
     return F.filter(split_words(text), lambda x: x != "")
@@ -15,7 +19,7 @@ def words(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """What ``words`` gives, with an empty part at an end that is white space."""
-    return F.split(text, r"(?U)[\s\x1c-\x1f]+")
+    return F.split(text, SPACES)
 
 
 def readable_size(n: Column) -> Column:

@@ -31,17 +31,17 @@ def quantiles(df: DataFrame, key: str, n: int) -> list:
     total = known.count()
     at = [q * (total - 1) for q in fractions(n)]
     places = sorted({int(x) for x in at} | {min(int(x) + 1, total - 1) for x in at}) if total else []
-    got = dict(zip(places, elements(known, key, places)))
+    got = dict(zip(places, elements(known, key, places, total)))
     return [got[int(x)] + (got[min(int(x) + 1, total - 1)] - got[int(x)]) * (x - int(x)) for x in at] if total else []
 
 
 def string_quantiles(df: DataFrame, key: str, n: int) -> list:
     """Elements int(q * rows) of the sorted keys."""
     total = df.count()
-    return elements(df, key, [int(q * total) for q in fractions(n)]) if total else []
+    return elements(df, key, [int(q * total) for q in fractions(n)], total) if total else []
 
 
-def elements(df: DataFrame, key: str, places: list[int]) -> list:
+def elements(df: DataFrame, key: str, places: list[int], total: int | None = None) -> list:
     """The keys at the places (from 0, ascending) of the sorted keys, none of them null.
 
     Bounds of a sample cut the keys into ranges, whose rows are counted; only
@@ -50,7 +50,7 @@ def elements(df: DataFrame, key: str, places: list[int]) -> list:
     """
     if not places:
         return []
-    bounds = approximate(df, key, 64)
+    bounds = approximate(df, key, 64, total=total)
     rows = df.select(F.col(key).alias("k"), segment(F.col(key), [None, *bounds]).alias("seg"))
     sizes = {r["seg"]: r["n"] for r in rows.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, at = [], 0
@@ -67,13 +67,13 @@ def elements(df: DataFrame, key: str, places: list[int]) -> list:
     return [next(r[0] for r in found if r["upto"] - r["n"] <= p < r["upto"]) for p in places]
 
 
-def approximate(df: DataFrame, key: str, n: int, rows: int = 20_000) -> list:
+def approximate(df: DataFrame, key: str, n: int, rows: int = 20_000, total: int | None = None) -> list:
     """Inner bounds from a bounded sample of the keys: a hash threshold set from the row count, so that tasks hand on their share only.
 
     The hash is of the whole row: equal keys are drawn as often as they occur.
     """
     known = df.filter(F.col(key).isNotNull())
-    total = known.count()
+    total = known.count() if total is None else total
     if total > rows:
         known = known.filter(F.pmod(F.xxhash64(*map(F.col, df.columns)), F.lit(1 << 40)) < int((1 << 40) * rows / total)).limit(2 * rows)
     got = sorted(r[0] for r in known.select(key).collect())

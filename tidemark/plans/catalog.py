@@ -485,7 +485,7 @@ def active_call_histogram(spark, events):
 
 @query(
     """SELECT e.event_id AS call_id, m.event_type, round(epoch(e.ts) - (SELECT epoch(min(ts)) FROM events), 3) AS start_offset,
-    round(epoch(e.ts) - (SELECT epoch(min(ts)) FROM events) + e.value, 3) AS end_offset FROM events e JOIN events m USING (event_id)""",
+    round((epoch(e.ts) + e.value) - (SELECT epoch(min(ts)) FROM events), 3) AS end_offset FROM events e JOIN events m USING (event_id)""",
     "events",
 )
 def call_timeline(spark, events):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -129,6 +130,27 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard(odd, [1.0] * 8).count() == 11 and sharding.shard(empty, [1.0] * 8).count() == 0
 
 
+def test_shards_equal_brute_force(spark):
+    """Scores from the hash itself: 52 bits of XXH64 of the key, then of the shard's name seeded with it."""
+    weights, grown = [1.0, 2.0, 0.5], [1.0, 2.0, 0.5, 1.5]
+
+    def best(key: str, w: list[float]) -> int:
+        first = xxhash.xxh64_intdigest(key.encode(), 42)
+        draw = [((xxhash.xxh64_intdigest(f"shard {i}".encode(), first) >> 12) + 0.5) / 2**52 for i in range(len(w))]
+        return min(range(len(w)), key=lambda i: (-np.log(draw[i]) / w[i], i))
+
+    rows = sharding.shard(common.table(spark, SF, "documents"), weights, grown).collect()
+    assert all((r["shard"], r["grown_shard"]) == (best(str(r["doc_id"]), weights), best(str(r["doc_id"]), grown)) for r in rows) and len(rows) == 200
+
+
+def test_copies_of_a_row_are_spread_over_buckets(spark):
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rows = sharding.shard(docs, [1.0] * 8)
+    assert sorted(r["slot"] for r in rows.collect()) == list(range(20_000))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_weights_and_growth(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     r = keys.select(sharding.rendezvous(F.col("k"), [1.0, 2.0, 1.0, 0.0]).alias("a"), sharding.rendezvous(F.col("k"), [1.0, 2.0, 1.0, 0.0, 1.0]).alias("b"))
@@ -206,6 +228,57 @@ def test_salvage_of_gzip_archives_with_damaged_starts():
     assert ids(parts[0] + data[:-9] + parts[1]) == [0, *range(30), 1]
 
 
+def test_no_bytes_stop_the_reader():
+    rng = random.Random(9)
+    hostile = [b"X-Page-ID: --5", "X-Page-ID: ²".encode(), b"X-Page-ID: " + b"9" * 5000, b"X-Page-ID: " + b"9" * 30, b"X-Refers-To-Page-ID: 1e9", b"\xff\xfe: \x00"]
+    parts = [b"WARC/1.1\r\nWARC-Type: response\r\n" + h + b"\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n" for h in hostile]
+    parts += [b"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 52\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 99999999999999999999\r\n\r\n"]
+    for size in (b"9" * 5000, b"99999999999", "²".encode(), b"-1", b""):
+        parts.append(b"WARC/1.1\r\nContent-Length: " + size + b"\r\n\r\nabc\r\n\r\n")
+    plain = b"".join(x for k, p in enumerate(parts) for x in (p, record(k, b"good")))
+    rows = [warc.row("p", *x, True) for x in warc.salvage(plain)]
+    warc.frame(rows)
+    assert [r[6] for r in rows if r[0] == "record" and r[6] is not None] == list(range(len(parts)))
+    whole = b"".join(gzip.compress(p) for p in parts) + plain
+    for k in range(300):
+        hurt = bytearray(rng.choice([plain, whole, gzip.compress(plain) + plain]))
+        for _ in range(rng.choice([1, 3, 30])):
+            at = rng.randrange(len(hurt)) if k % 2 else rng.randrange(40)
+            hurt[at : at + rng.choice([0, 1, 5])] = rng.randbytes(rng.choice([0, 1, 5]))
+        out = list(warc.salvage(bytes(hurt)))
+        warc.frame([warc.row("p", *x, True) for x in out])
+        assert sum(x[2] for x in out if x[0] == "gap") <= len(hurt)
+
+
+def test_archives_are_streamed(spark, tmp_path, monkeypatch):
+    rng = random.Random(10)
+    parts = [record(n, rng.randbytes(rng.choice([10, 3000, 70_000]))) for n in range(60)]
+    data = b"".join(parts[:30]) + b"\0" * 5000 + b"".join(gzip.compress(p) for p in parts[30:])
+    monkeypatch.setattr(warc, "READ", 1000)
+    whole = list(warc.salvage(data))
+    assert whole == list(warc.salvage(warc.Source(io.BytesIO(data), len(data))))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(data)
+    (tmp_path / "w" / "b.warc").write_bytes(parts[0])
+    for most in (0, 10_000, 1 << 30):
+        records, gaps = warc.salvaged(spark, f"{tmp_path}/w") if most == 1 << 30 else (warc.read_warc(spark, f"{tmp_path}/w", True, most).filter(f"kind = '{k}'") for k in ("record", "gap"))
+        assert sorted(r["page_id"] for r in records.collect()) == sorted([0, *range(60)]) and [r["length"] for r in gaps.collect()] == [5000]
+
+
+def test_salvage_takes_linear_time():
+    import time
+
+    def seconds(data):
+        start = time.time()
+        for _ in warc.salvage(data):
+            pass
+        return time.time() - start
+
+    for one in (gzip.compress(record(1, b"x")), b"WARC/1.1\r\nContent-Length: 7\r\n", b"WARC/1.1\r\nContent-Length: 99999\r\n\r\nabc\r\n\r\n"):
+        few, many = min(seconds(one * 2000) for _ in range(3)), seconds(one * 16_000)
+        assert many < 24 * few + 0.5
+
+
 def test_fertility(spark, odd, empty):
     pieces = fertility.Pieces(PIECES)
     for _, text, *_ in documents()[:60] + [(0, None), (0, "a b c a b c a b"), (0, "x\nx\n\n\nx")]:
@@ -434,6 +507,8 @@ def test_languages(spark, odd, empty):
     got = {r["doc_id"]: r for r in gru_langid.identify(odd, model).collect()}
     assert all(got[d]["lang_pred"] == "und" and got[d]["score"] == 0 for d in (2, 3, 4, 7)) and 0 < got[5]["score"] <= 1
     assert gru_langid.identify(empty).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ① 123 ٣ ％"), (2, "ª"), (3, "文")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in gru_langid.identify(signs, model).orderBy("doc_id").collect()] == [True, False, False]
     assert {r["lang_pred"] for r in gru_langid.identify(odd.filter("lang is null")).collect()} == {"und"}
     f, b = (model.direction(np.arange(64).reshape(16, 4), d)[0] for d in "fb")
     assert np.allclose(f, model.states(np.arange(64).reshape(16, 4), "f"), atol=1e-5) and np.allclose(b, model.states(np.arange(64).reshape(16, 4), "b"), atol=1e-5)

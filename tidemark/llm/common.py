@@ -2,77 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast at most; beyond them the operators shuffle instead.
-BROADCAST_ROWS = 100_000
-#: Rows of text in one Arrow batch handed to a Python worker.
-BATCH_ROWS = 500
+from tidemark.shared import BROADCAST_BYTES, BROADCAST_ROWS, delete, materialise, release, shared_dir, shared_path, small
 
-_written: list[tuple[SparkSession, str]] = []
-_base: dict[str, str] = {}
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "delete", "free_name", "join_small", "least_hashes", "materialise", "release", "shared_dir", "shared_path", "small", "table", "text_batches", "tokenizer_path"]
+
+#: Rows and bytes of text in one Arrow batch handed to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application's own in the storage that all executors share.
-
-    It is below ``spark.checkpoint.dir``; where that is unset (tests, local
-    mode) it is a temporary folder of this machine.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _base:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        _base[app] = f"{root.rstrip('/')}/tidemark-{app}"
-    return _base[app]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; ``release`` deletes it."""
-    if not _written:
-        atexit.register(release)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release() -> None:
-    """Delete every table written by ``materialise``; their DataFrames end with it."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # the session has ended: nothing is left to ask
-            _written.clear()
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once to shared storage and read back: a cut in the lineage that lost executors don't undo."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores as long as the frame has such a column (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -82,15 +28,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small: a worker holds one batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches of texts small, in rows and bytes: a worker holds one batch at a time. Lower settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(key, None) or "0").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast while ``right`` has at most ``most`` rows, else with a shuffle."""
-    return left.join(F.broadcast(right) if rows <= most else right, on, how)
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, bytes_each: int = 64) -> DataFrame:
+    """Join with a broadcast while ``right`` is small in rows and bytes, else with a shuffle."""
+    return left.join(small(right, rows, bytes_each), on, how)
 
 
 def least_hashes(df: DataFrame, hashed: Column, rows: int, total: int) -> DataFrame:

@@ -14,9 +14,20 @@ from tidemark.llm import common
 
 
 def star_roots(links: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) of every linked node but the roots. links: a long, b long."""
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = common.materialise(edges, "links")
+    """node, root (the least node of its component) of every linked node but the roots. links: a long, b long. An empty table gives an empty one."""
+    spark, last = links.sparkSession, None
+
+    def written(edges: DataFrame) -> DataFrame:
+        """The round on shared storage; the round before it is deleted, as nothing reads it any more."""
+        nonlocal last
+        path = common.shared_path(spark, "links")
+        edges.write.parquet(path)
+        if last:
+            common.delete(spark, last)
+        last = path
+        return spark.read.schema("a long, b long").parquet(path)
+
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = signature(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,7 +35,7 @@ def star_roots(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = common.materialise(small.select("e.a", "e.b").filter("a <> b").distinct(), "links")
+        edges = written(small.select("e.a", "e.b").filter("a <> b").distinct())
         if (now := signature(edges)) == state:
             break
         state = now

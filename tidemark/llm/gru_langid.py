@@ -12,14 +12,16 @@ the label's count, about ``SAMPLE_ROWS`` rows and never more than twice that;
 of each row one window at a place that the hash sets, anywhere in its text.
 
 Null texts and texts without a letter are ``und`` with score 0. Long texts are
-read whole, a bounded number of windows at once. Repeated rows get equal
-results; other columns aren't read; without labelled rows all is ``und``.
+read whole, a bounded number of windows at once; a window's states begin anew.
+Repeated rows get equal results; of equal probabilities the first label in
+order wins; other columns aren't read; without labelled rows all is ``und``,
+and an empty table gives an empty result. The network has an output for each
+label, so the learned labels must be few: the sample is read by the driver and
+grows with their number, not with the rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,10 @@ STEPS, BATCH, RATE = 260, 192, 0.02
 #: Windows read at once.
 LANES = 2048
 
-LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's letter categories: no digits, numbers, fractions or symbols of letters."""
+    return any(map(str.isalpha, text))
 
 
 class Gru:
@@ -208,17 +213,16 @@ def fold(doc_id: Column) -> Column:
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """lang, window: one window of each sampled row of the two learning folds."""
     # windows of different length in characters hold WINDOW bytes or more; they are cut to bytes later
-    known = docs.filter("lang is not null and text is not null").filter(F.length("text") > 0).filter(fold(F.col("doc_id")) != 1)
+    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(F.length("text") > 0).filter(fold(F.col("doc_id")) != 1)
     hashed = F.xxhash64("doc_id", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    counts = common.materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    labels = counts.count()
+    if not labels:
         return None
-    share = F.lit(0.0)
-    for k, n in counts.items():
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, rows / n))).otherwise(share)
-    place = F.pmod(F.shiftright(hashed, 20), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
-    drawn = known.withColumn("h", hashed).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    return drawn.select("lang", F.substr(F.col("text"), place, F.lit(WINDOW)).alias("window")).limit(2 * rows * len(counts))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n")).alias("share"))
+    drawn = common.join_small(known.withColumn("h", hashed), shares, ["lang"], "inner", labels).filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    place = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
+    return drawn.select("lang", F.substr(F.col("text"), place, F.lit(WINDOW)).alias("window")).limit(2 * rows * labels)
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Gru | None:
@@ -248,7 +252,7 @@ def languages(docs: DataFrame, model: Gru | None) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         net = sent.value
         out = pd.DataFrame({"lang_pred": pd.Series(["und"] * len(texts), dtype=object), "score": np.zeros(len(texts))})
-        good = [i for i, t in enumerate(texts) if t and net is not None and LETTER.search(t)]
+        good = [i for i, t in enumerate(texts) if t and net is not None and has_letter(t)]
         if good:
             q = net.predict([texts.iloc[i] for i in good])
             out.loc[good, "lang_pred"] = [net.labels[k] for k in q.argmax(1)]

@@ -6,12 +6,15 @@ takes records for which its own score is the least, and no record moves
 between old shards. Built-in functions only.
 
 Slots number the rows of a shard from 0. Rows are dealt into many buckets of a
-shard by a hash of the row, numbered within the bucket, and moved up by the
-counts of the buckets before it; so no task holds a whole shard.
+shard by a hash of the row and its place in the input, numbered within the
+bucket, and moved up by the counts of the buckets before it; so no task holds a
+whole shard, nor all copies of a row. Which row of a shard has which slot is
+not stated: another run may number them otherwise.
 
 Null keys hash as a key of their own; null texts have size 1 and checksum 0;
-repeated rows share a shard and have different slots; an empty table gives an
-empty result; other columns aren't read.
+texts of any length are measured whole; of equal scores the shard named first
+wins; repeated rows share a shard and have different slots; an empty table
+gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Rows of one bucket on average, and buckets of a shard at most (their counts are broadcast).
+#: Rows of one bucket on average, and buckets of a shard at most (their counts are broadcast while they are few).
 BUCKET_ROWS, MOST_BUCKETS = 50_000, 65_536
 #: Draws are 52 bits of a hash.
 DRAW = float(1 << 52)
@@ -51,15 +54,18 @@ def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = Non
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"))
     rows = rows.select("doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"))
-    rows = common.materialise(rows, "shards")
+    # the place parts copies of a row; it is written, so that counting and numbering see the same
+    spread = F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())
+    rows = common.materialise(rows.withColumn("spread", F.pmod(spread, F.lit(1 << 30)).cast("int")), "shards")
     buckets = min(MOST_BUCKETS, max(64, rows.count() // len(weights) // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod("spread", F.lit(buckets))).drop("spread")
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
     numbered = rows.withColumn("place", F.row_number().over(within).cast("long") - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place")).alias("slot"), "grown_shard")
+    numbered = common.join_small(numbered, starts, ["shard", "bucket"], "inner", buckets * len(weights), 24)
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place")).alias("slot"), "grown_shard")
 
 
 def query(spark, sf_dir):

@@ -5,20 +5,30 @@ lines after it, and the digest of its block. After a failed check it looks
 for the next version line or gzip member, whichever comes first, from which a
 whole valid record can be read, and reports the bytes between as a gap of
 kind ``gap``. Of a damaged member, the records that inflate before its failure
-and whose block digest proves them whole are given too, at the member's offset.
-A damaged record costs itself only.
+and whose block digest proves them whole are given too, at the member's offset,
+before the gap that the member lies in. A damaged record costs itself only, and
+no bytes whatever make the reader fail.
+
+Archives of any size are read through one buffer: a reader holds a record, or
+the content of a gzip member, at a time. Those of up to ``WHOLE_BYTES`` come
+through Spark from any storage that it opens; larger ones are streamed by
+pyarrow, which has to know the storage. Quarantined gaps are rows beside the
+records, and ``salvaged`` parts them and logs them.
 
 Nulls: a null payload is empty, a null URL is written as an empty target, null
 ids come back null and are never referred to while the group has another id.
 Repeated rows of a page are written once each; if their payload is the group's
-first, all are responses. Other columns aren't read; an empty table gives no
-records. Equal payloads aren't gathered: only their digests are grouped.
+first, all are responses. Payloads may be as long as a string of Spark. Other
+columns aren't read; an empty table gives no records. Equal payloads aren't
+gathered: only their digests are grouped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,19 +38,84 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
+from tidemark.sources.objects import open_file
+
+log = logging.getLogger(__name__)
 
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 BASE32, CONV32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes of an archive file on average; a reader holds one file at a time.
+#: Payload bytes of an archive file on average.
 FILE_BYTES = 8 << 20
+#: Bytes of an archive up to which it is one value of Spark's; beyond, it is streamed.
+WHOLE_BYTES = 64 << 20
+#: Bytes buffered of an archive; of a gzip member inflated at once; of payloads in a frame of rows; greatest header.
+READ, STEP, FRAME_BYTES, HEADER = 1 << 20, 1 << 16, 16 << 20, 1 << 20
 
 _version = re.compile(rb"WARC/\d\.\d\r?\n")
 _gzip = re.compile(rb"\x1f\x8b\x08")
 _start = re.compile(_version.pattern + b"|" + _gzip.pattern)
-#: Bytes of a gzip member inflated at once.
-STEP = 1 << 16
+_end = re.compile(re.escape(END))
+#: Bytes that a pattern above can span.
+SPAN = 16
+
+
+class Source:
+    """Random access to the bytes of an archive, through one buffer."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+        self.held, self.at = b"", 0
+        self.known: dict[re.Pattern, tuple[int, int]] = {}
+
+    @classmethod
+    def of(cls, data: bytes) -> Source:
+        out = cls(io.BytesIO(data), len(data))
+        out.held = data
+        return out
+
+    def fill(self, at: int) -> None:
+        self.file.seek(at)
+        self.held, self.at = self.file.read(min(READ, self.size - at)), at
+        if not self.held:  # shorter than it was said to be
+            self.size = at
+
+    def get(self, at: int, n: int, keep: bool = True) -> bytes:
+        """The bytes from ``at``, fewer at the end; ``keep`` says whether the buffer may move there."""
+        n = max(0, min(n, self.size - at))
+        if not (self.at <= at and at + n <= self.at + len(self.held)):
+            if n > READ or not keep:
+                self.file.seek(at)
+                return self.file.read(n)
+            self.fill(at)
+        return self.held[at - self.at : at - self.at + n]
+
+    def search(self, pattern: re.Pattern, at: int) -> int:
+        """Where the pattern next begins, or the size. What was found is kept, so bytes aren't searched again from another start."""
+        first, found = self.known.get(pattern, (0, -1))
+        if first <= at <= found:
+            return found
+        start, found = at, self.size
+        while at < self.size:
+            if not self.at <= at < self.at + len(self.held):
+                self.fill(at)
+            end = self.at + len(self.held)
+            if m := pattern.search(self.held, at - self.at):
+                found = self.at + m.start()
+                break
+            if end >= self.size:
+                break
+            at = max(at + 1, end - SPAN)
+            self.fill(at)
+        found = min(found, self.size)
+        self.known[pattern] = (start, found)
+        return found
+
+
+def whole_number(x: str | None) -> int | None:
+    """A whole number that fits into 64 bits, or None."""
+    return int(x) if x and re.fullmatch(r"-?[0-9]{1,18}", x) else None
 
 
 def base32_sha1(data: Column) -> Column:
@@ -118,37 +193,39 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
     out.write.option("lineSep", END.decode()).option("maxRecordsPerFile", each).text(path)
 
 
-def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
+def parse(data: Source, at: int) -> tuple[int, dict[str, str], bytes] | str:
     """(end, header, block) of the record at ``at``, or what is wrong with it."""
-    if not (m := _version.match(data, at)):
+    if not (m := _version.match(data.get(at, SPAN))):
         return "no version line"
-    stop = data.find(END, m.end() - 2)
-    if stop < 0:
+    first = at + m.end()
+    stop = data.search(_end, first - 2)
+    if stop >= data.size or stop - first > HEADER:
         return "unended header"
     header = {}
-    for x in data[m.end() : stop].decode("utf-8", "replace").split("\r\n"):
+    for x in data.get(first, stop - first).decode("utf-8", "replace").split("\r\n"):
         name, colon, value = x.partition(":")
         if not colon and x:
             return "bad header line"
         header[name.strip().lower()] = value.strip()
-    length = header.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    length = whole_number(header.get("content-length"))
+    if length is None or length < 0:
         return "no length"
     start = stop + len(END)
-    end = start + int(length)
-    if data[end : end + len(END)] != END:
+    end = start + length
+    if end > data.size or data.get(end, len(END), False) != END:
         return "bad end of record"
-    block = data[start:end]
+    block = data.get(start, length)
     said = header.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != sha1_32(block):
         return "wrong block digest"
     return end + len(END), header, block
 
 
-def salvage_plain(data: bytes) -> Iterator[tuple]:
+def salvage_plain(data: bytes | Source) -> Iterator[tuple]:
     """('record', offset, length, header, block) and ('gap', offset, length, reason, None) in order; they cover all bytes."""
+    data = Source.of(data) if isinstance(data, bytes) else data
     at, bad, why = 0, None, ""
-    while at < len(data):
+    while at < data.size:
         got = parse(data, at)
         if not isinstance(got, str):
             if bad is not None:
@@ -160,43 +237,45 @@ def salvage_plain(data: bytes) -> Iterator[tuple]:
             continue
         if bad is None:
             bad, why = at, got
-        m = _version.search(data, at + 1)
-        at = m.start() if m else len(data)
+        at = data.search(_version, at + 1)
     if bad is not None:
-        yield "gap", bad, len(data) - bad, why, None
+        yield "gap", bad, data.size - bad, why, None
 
 
-def member(data: bytes, at: int) -> tuple[int, bytes, bool]:
+def member(data: Source, at: int) -> tuple[int, bytes, bool]:
     """(end, content, whole) of the gzip member at ``at``; of a damaged one, what inflates before its failure."""
-    view, unzip, out = memoryview(data), zlib.decompressobj(31), []
-    while at < len(data) and not unzip.eof:
-        before = unzip.copy()
+    unzip, out, step = zlib.decompressobj(31), [], 1 << 12
+    while at < data.size and not unzip.eof:
+        before, part = unzip.copy(), data.get(at, step)
         try:
-            out.append(unzip.decompress(view[at : at + STEP]))
+            out.append(unzip.decompress(part))
         except zlib.error:
             try:
-                for k in range(at, at + STEP):
-                    out.append(before.decompress(view[k : k + 1]))
+                for k in range(len(part)):
+                    out.append(before.decompress(part[k : k + 1]))
             except zlib.error:
                 pass
             return at, b"".join(out), False
-        at += STEP
-    return min(at, len(data)) - len(unzip.unused_data), b"".join(out), unzip.eof
+        at += len(part)
+        step = min(4 * step, STEP)  # small members don't have much behind them cut off and copied
+    return at - len(unzip.unused_data), b"".join(out), unzip.eof
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
+def salvage(data: bytes | Source) -> Iterator[tuple]:
     """Records and gaps of a plain or gzip archive, or of one that is part of each; offsets of gzip records are their members'."""
+    data = Source.of(data) if isinstance(data, bytes) else data
     at, bad, why = 0, None, ""
-    proven: list[tuple] = []  # records of damaged members in the gap: offset, header, block
-    while at < len(data):
+    while at < data.size:
         found, reason = [], "bad gzip member"
-        if _gzip.match(data, at):
+        if _gzip.match(data.get(at, SPAN)):
             end, content, whole = member(data, at)
             inside = list(salvage_plain(content))
             if whole and (bad is None or any(x[0] == "record" for x in inside)):
                 found = [(kind, at, end - at, what, block) for kind, _, _, what, block in inside] or [("gap", at, end - at, "empty gzip member", None)]
             elif not whole:
-                proven += [(at, x[3], x[4]) for x in inside if x[0] == "record" and x[3].get("warc-block-digest", "").startswith("sha1:")]
+                for x in inside:
+                    if x[0] == "record" and x[3].get("warc-block-digest", "").startswith("sha1:"):
+                        yield "record", at, max(1, end - at), x[3], x[4]
         elif not isinstance(got := parse(data, at), str):
             end, header, block = got
             found = [("record", at, end - at, header, block)]
@@ -205,18 +284,15 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if found:
             if bad is not None:
                 yield "gap", bad, at - bad, why, None
-                yield from (("record", o, at - o, header, block) for o, header, block in proven)
-                bad, proven = None, []
+                bad = None
             yield from found
             at = end
             continue
         if bad is None:
             bad, why = at, reason
-        m = _start.search(data, at + 1)
-        at = m.start() if m else len(data)
+        at = data.search(_start, at + 1)
     if bad is not None:
-        yield "gap", bad, len(data) - bad, why, None
-        yield from (("record", o, len(data) - o, header, block) for o, header, block in proven)
+        yield "gap", bad, data.size - bad, why, None
 
 
 SCHEMA = "kind string, path string, offset long, length long, reason string, record_type string, page_id long, refers_to long, url string, payload_digest string, payload_bytes long, payload binary"
@@ -227,44 +303,73 @@ def row(path: str, kind: str, offset: int, length: int, what, block: bytes | Non
     if kind == "gap":
         return (kind, path, offset, length, what, None, None, None, None, None, None, None)
     head, _, payload = block.partition(END)
-    number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
     if what.get("warc-type") == "revisit":
-        said = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        said = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", head)
         size, digest, payload = int(said[1]) if said else None, what.get("warc-payload-digest", "").removeprefix("sha1:"), None
     else:
         size, digest = len(payload), sha1_32(payload)
-    return (kind, path, offset, length, None, what.get("warc-type"), number(what.get("x-page-id")), number(what.get("x-refers-to-page-id")), what.get("warc-target-uri"), digest, size, payload if payloads else None)
+    return (kind, path, offset, length, None, what.get("warc-type"), whole_number(what.get("x-page-id")), whole_number(what.get("x-refers-to-page-id")), what.get("warc-target-uri"), digest, size, payload if payloads else None)
+
+
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
+    for c in ("page_id", "refers_to", "payload_bytes"):
+        out[c] = out[c].astype("Int64")
+    return out
+
 
+def frames(name: str, data: Source, payloads: bool) -> Iterator[pd.DataFrame]:
+    """The rows of one archive, in frames of bounded numbers of rows and bytes."""
+    rows, held = [], 0
+    for x in salvage(data):
+        rows.append(row(name, *x, payloads))
+        held += len(rows[-1][-1] or b"")
+        if len(rows) >= 2000 or held > FRAME_BYTES:
+            yield frame(rows)
+            rows, held = [], 0
+    yield frame(rows)
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Rows of kind ``record``, and of kind ``gap`` for quarantined bytes (path, offset, length, reason)."""
 
     def run(batches):
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
-                rows = []
-                for x in salvage(data):
-                    rows.append(row(name, *x, payloads))
-                    if len(rows) >= 2000:
-                        yield frame(rows)
-                        rows = []
-                yield frame(rows)
-
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
-        for c in ("page_id", "refers_to", "payload_bytes"):
-            out[c] = out[c].astype("Int64")
-        return out
+                yield from frames(name, Source.of(data), payloads)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, SCHEMA)
+    def stream(batches):
+        for b in batches:
+            for name, size in zip(b["path"], b["length"]):
+                with open_file(name) as f:
+                    yield from frames(name, Source(f, int(size)), payloads)
+
+    files = spark.read.format("binaryFile").load(path)
+    out = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInPandas(run, SCHEMA)
+    large = files.select("path", "length").filter(F.col("length") > whole_bytes)
+    if n := large.count():
+        # an archive is a task's work, and a file's listing says nothing of that
+        out = out.unionByName(large.repartition(n, "path").mapInPandas(stream, SCHEMA))
+    return out
+
+
+def salvaged(spark: SparkSession, path: str, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Records, and gaps (path, offset, length, reason), of the archives below a path, read once; gaps are logged."""
+    rows = common.materialise(read_warc(spark, path, payloads), "salvaged")
+    gaps = rows.filter("kind = 'gap'").select("path", "offset", "length", "reason")
+    n, size = gaps.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if n:
+        log.warning("quarantined %d gaps of %d bytes below %s", n, size, path)
+        for r in gaps.limit(20).collect():
+            log.warning("gap in %s at %d of %d bytes: %s", *r)
+    return rows.filter("kind = 'record'").drop("kind", "reason"), gaps
 
 
 def query(spark, sf_dir):
     path = common.shared_path(spark, "warc")
     write_warc(common.table(spark, sf_dir, "pages"), path)
-    back = read_warc(spark, path, payloads=False)
-    return back.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records, _ = salvaged(spark, path, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The same rows from the table itself, for DuckDB.

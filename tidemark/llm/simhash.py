@@ -1,25 +1,33 @@
 """SimHash near-duplicates: fingerprints linked within a Hamming radius, exactly, by vantage-point trees.
 
-Equal fingerprints are grouped first. A vantage-point tree over a bounded
-sample of the distinct ones cuts fingerprint space into cells: a fingerprint
-is at home in one cell, and visits those where the triangle inequality leaves
-room for a neighbour within the radius. In each cell the tree is carried on in
-memory, pruned by the same bounds, and only a spanning forest of the links is
-handed on; components are then found by star contractions.
+Equal fingerprints are grouped first. A vantage-point tree over a sample of the
+distinct ones (``SAMPLE_EACH`` for each cell) cuts fingerprint space into cells
+of about ``CELL``: a fingerprint is at home in one cell, and visits those where
+the triangle inequality leaves room for a neighbour within the radius. In each
+cell the tree is carried on in memory, pruned by the same bounds, and only a
+spanning forest of the links is handed on; components are then found by star
+contractions. The number of cells follows the number of fingerprints up to what
+``MOST_SAMPLE`` sampled ones can part (1.3 thousand million fingerprints);
+beyond, cells grow in proportion and results stay the same.
 
 A crowd of near copies would put everything into a few cells. Fingerprints of
 the sample around which many others lie become hubs: what lies within the
 radius of a hub is linked to it at once and only visits cells, and the
 visitors of a crowded cell are spread over several copies of its residents.
 
-Null and empty texts have fingerprint zero and are linked like any other. Rows
-of one doc_id count as one document. Null ids take part, with a null component
-if no other id is reached. Other columns aren't read.
-
-``keep_one`` searches at a wider radius and links only what it has verified:
-texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more. Such sets differ in size by a quarter at most, so they are searched in
-bands of size, each with the next.
+Null and empty texts have fingerprint zero and are linked like any other; texts
+of any length are read whole. Rows of one doc_id are one document, so what they
+are linked to is linked; rows without an id are documents of their own, with a
+null component if no id is reached. Among equal distances there is nothing to
+choose. An empty table gives an empty result; other columns aren't read.
+
+``keep_one`` links only what it has verified: texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more. Their fingerprints differ in
+ten bits on average, and at such a radius the triangle inequality prunes next
+to nothing, since nearly all fingerprints lie 24 to 40 bits from any vantage
+point. So the shards of this search come from the shingle sets: texts that share
+three least hashes in one of ``BANDS`` bands meet in a shard (0.99999 of the
+pairs at 0.8 do), where vantage-point trees find those within the radius.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -38,9 +46,13 @@ from tidemark.llm.components import star_roots
 #: Words of a shingle, hash seed, greatest distance of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Of keep_one: words of a verified shingle, least Jaccard similarity of a link, greatest distance searched.
-WORDS, SIMILARITY, REACH = 5, 0.8, 14
-#: Fingerprints of a cell at home on average; cells; sampled fingerprints for each cell and at most.
-CELL, LEAST_CELLS, MOST_CELLS, SAMPLE_EACH, MOST_SAMPLE = 20_000, 48, 4096, 64, 262_144
+WORDS, SIMILARITY, REACH = 5, 0.8, 18
+#: Of keep_one: bands, and least hashes of each; pairs of one text that are verified in a task.
+BANDS, BAND, PAIRS_EACH = 16, 3, 500
+#: Fingerprints of a cell at home on average; fewest cells; sampled fingerprints for each cell and at most.
+CELL, LEAST_CELLS, SAMPLE_EACH, MOST_SAMPLE = 20_000, 48, 64, 1 << 22
+#: Rows of a frame that a task hands on.
+FRAME = 100_000
 #: A hub has at least this share of the sample within the radius; hubs at most; points compared to find them.
 HUB_SHARE, MOST_HUBS, HUB_SAMPLE = 0.004, 64, 4096
 #: Residents under which a cell's tree ends, and residents compared at once.
@@ -77,7 +89,10 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None) -> int:
     """The fingerprint, as a signed 64-bit number."""
-    h = shingle_hashes(text) if text else np.empty(0, np.uint64)
+    return fingerprint_of(shingle_hashes(text) if text else np.empty(0, np.uint64))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     most = 2 * bits_of(h) > len(h)
@@ -225,10 +240,10 @@ def link_cell(x: np.ndarray, home: np.ndarray, forest: Forest, seed: int = 7) ->
         forest.union(i, j)
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """a, b: links of nodes whose fingerprints lie within the radius, enough of them to connect all that are connected. nodes: fp long (distinct), node long."""
     n = nodes.count()
-    cells = int(min(MOST_CELLS, max(LEAST_CELLS, n // CELL)))
+    cells = int(min(MOST_SAMPLE // SAMPLE_EACH, max(LEAST_CELLS, n // cell)))
     drawn = common.least_hashes(nodes, F.xxhash64("fp"), min(MOST_SAMPLE, max(HUB_SAMPLE, cells * SAMPLE_EACH)), n)
     sample = drawn.select("fp").toPandas()["fp"].to_numpy(np.int64)
     sample = np.random.default_rng(2).permutation(np.sort(sample)).view(np.uint64)
@@ -239,23 +254,36 @@ def links(nodes: DataFrame) -> DataFrame:
     met: list = []
     route(tree, sample, np.arange(len(sample)), free, met)
     guests = np.zeros(len(names))
-    for cell, at, home in met:
-        guests[cell] += (~home).sum()
+    for c, at, home in met:
+        guests[c] += (~home).sum()
     each = max(1.0, n / max(1, len(sample)))
-    copies = np.maximum(1, np.ceil(guests * each / max(CELL / 2, 4 * n / cells))).astype(int)
+    copies = np.maximum(1, np.ceil(guests * each / max(cell / 2, 4 * n / cells))).astype(int)
+    sent = nodes.sparkSession.sparkContext.broadcast((tree, hubs, copies))  # a few dozen bytes for each cell
 
     def deal(batches):
+        tree, hubs, copies = sent.value
         for b in batches:
             x = b["fp"].to_numpy(np.int64).view(np.uint64)
             node = b["node"].to_numpy(np.int64)
             out: list = []
             route(tree, x, np.arange(len(x)), hub_of(x, hubs) < 0, out)
             spread = x % np.uint64(9973)
-            for cell, at, home in out:
-                k = copies[cell]
+            held, rows = [], 0
+            for c, at, home in out:
+                k = copies[c]
                 for salt in range(k):
                     go = home | (spread[at] % np.uint64(k) == salt) if k > 1 else slice(None)
-                    yield pd.DataFrame({"cell": np.int32(cell), "salt": np.int32(salt), "fp": x[at[go]].view(np.int64), "node": node[at[go]], "home": home[go]})
+                    held.append((np.full(len(at[go]), c, np.int32), np.full(len(at[go]), salt, np.int32), at[go], home[go]))
+                    rows += len(at[go])
+                    if rows > FRAME:
+                        yield dealt_frame(held, x, node)
+                        held, rows = [], 0
+            if held:
+                yield dealt_frame(held, x, node)
+
+    def dealt_frame(held: list, x: np.ndarray, node: np.ndarray) -> pd.DataFrame:
+        c, salt, at, home = (np.concatenate(v) for v in zip(*held))
+        return pd.DataFrame({"cell": c, "salt": salt, "fp": x[at].view(np.int64), "node": node[at], "home": home})
 
     def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("node", kind="stable")
@@ -284,83 +312,123 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = nodes.select("fp", F.coalesce("first", F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 40))).cast("long").alias("node"))
     nodes = common.materialise(nodes, "nodes")
-    roots = star_roots(links(nodes))
+    # rows of one id with several fingerprints are one document
+    several = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    several = common.materialise(several.select("doc_id"), "several")
+    found = links(nodes)
+    if n := several.count():
+        theirs = common.join_small(fps, several, ["doc_id"], "inner", n).distinct().join(nodes, "fp")
+        least = theirs.groupBy("doc_id").agg(F.min("node").alias("b"))
+        found = found.unionByName(theirs.join(least, "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b"))
+    roots = star_roots(found)
     roots = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     out = fps.join(roots, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, size)) if text else np.empty(0, np.uint64)
+_rng = np.random.default_rng(20240707)
+_factors = _rng.integers(0, 2**64, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
+_marks = _rng.integers(0, 2**64, BANDS * BAND, dtype=np.uint64)
+_mix = _rng.integers(0, 2**64, (BANDS, BAND), dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band, from its least hashes over the set; none for an empty set."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 4096):
+        np.minimum(least, ((h[None, k : k + 4096] ^ _marks[:, None]) * _factors[:, None]).min(1), out=least)
+    least ^= least >> np.uint64(29)
+    keys = (least.reshape(BANDS, BAND) * _mix).sum(1, dtype=np.uint64)
+    return (keys ^ keys >> np.uint64(31)).view(np.int64)
 
 
 def distinct_sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, fp, digest of every row; and of each distinct shingle set: fp, digest, n (its size), text_hash, node (the least id)."""
+    """doc_id, row_hash, digest of every row; and of each distinct shingle set: node (its digest), fp, n (its size), text_hash, keys."""
     common.text_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp long, digest long, n long")
+    @F.pandas_udf("fp long, node long, n long, keys array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
-            h = shingle_set(x, shingle)
-            rows.append((fingerprint(x), int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h)))
-        return pd.DataFrame(rows, columns=["fp", "digest", "n"])
+            h = shingle_hashes(x, shingle) if x else np.empty(0, np.uint64)
+            s = np.unique(h)
+            rows.append((fingerprint_of(h), int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)), len(s), band_keys(s)))
+        return pd.DataFrame(rows, columns=["fp", "node", "n", "keys"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), run("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    rows = docs.select("doc_id", row_hash(docs).alias("row_hash"), F.xxhash64("text").alias("text_hash"), run("text").alias("s")).select("doc_id", "row_hash", "text_hash", "s.*")
     rows = common.materialise(rows, "fingerprints")
     # texts of one set in other orders have fingerprints of their own or not: the least stands for all
-    nodes = rows.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "fp")).alias("s"))
-    no_id = F.lit(NO_ID) + F.pmod(F.col("digest"), F.lit(1 << 40))
-    nodes = nodes.select("digest", "n", "s.text_hash", "s.fp", F.coalesce("first", no_id).cast("long").alias("node"))
-    return rows.select("doc_id", "digest"), common.materialise(nodes, "nodes")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "fp", "n")).alias("s"), F.first("keys").alias("keys")).select("node", "s.*", "keys")
+    return rows.select("doc_id", "row_hash", "node"), common.materialise(nodes, "nodes")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar enough; texts are read for these only."""
-    pairs = common.materialise(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_hash"), "node")
+    """The distinct pairs (a, b) of nodes whose shingle sets are similar enough; texts are read for these only.
+
+    Where one node is in many pairs its set is copied, once for ``PAIRS_EACH`` of them, so they are spread over tasks.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    wanted = common.materialise(wanted, "wanted")
+    if not (n := wanted.count()):
+        return pairs
     common.text_batches(docs.sparkSession)
 
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(x, shingle).view(np.int64) for x in texts])
+        return pd.Series([np.unique(shingle_hashes(x, shingle)).view(np.int64) if x else np.empty(0, np.int64) for x in texts])
 
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["node"])
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    texts = common.join_small(texts, wanted, ["text_hash"], "inner", n).dropDuplicates(["node"])
     sets = common.materialise(texts.select("node", run("text").alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+
+    def attach(pairs: DataFrame, side: str) -> DataFrame:
+        hot = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > PAIRS_EACH).select(side, F.ceil(F.col("m") / PAIRS_EACH).alias("copies"))
+        hot = common.materialise(hot, "hot")
+        few = common.small(hot, hot.count())
+        copies = F.coalesce("copies", F.lit(1))
+        left = pairs.join(few, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), copies)).drop("copies")
+        copied = sets.withColumnRenamed("node", side).withColumnRenamed("s", f"s{side}").join(few, side, "left")
+        copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+        return left.join(copied, [side, "salt"]).drop("salt")
+
+    both = attach(attach(pairs, "b"), "a") if n else pairs
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def verified_links(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
-    """a, b: links of nodes within the radius whose similarity is verified, enough of them to connect all that are connected."""
-    total, whole = nodes.count(), nodes
-    drawn = common.least_hashes(nodes, F.xxhash64("node"), HUB_SAMPLE, total).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    hubs = find_hubs(np.random.default_rng(2).permutation(np.sort(drawn)).view(np.uint64), radius, radius)
-    first = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    if len(hubs):  # crowds are linked to their hubs first, so that not all their pairs are verified
-        known = nodes.filter(F.col("fp").isin([int(h) for h in hubs.view(np.int64)])).groupBy("fp").agg(F.min("node").alias("b")).collect()
-        near = [F.when(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r["fp"]))) <= radius, F.lit(r["b"])) for r in known]
-        stars = nodes.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array(*near))).alias("b")).filter("a <> b")
-        first = common.materialise(alike(stars, nodes, docs, shingle, similarity), "links")
-        roots = star_roots(first)
-        nodes = nodes.join(roots, "node", "left").select("digest", "n", "text_hash", "fp", "node", F.coalesce("root", "node").alias("group"))
-    else:
-        nodes = nodes.withColumn("group", F.col("node"))
-    # sets as similar differ in size by this factor at most, so by one band at most
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(1 / similarity)) * (1 - 1e-9)).cast("int")
-    nodes = common.materialise(nodes.select("node", "fp", "n", "group", band.alias("band")), "bands")
-    parts = nodes.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")).collect()
-    parts = {r["band"]: r["parts"] for r in parts}
-    count = lambda b: F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[b], F.lit(0)) if parts else F.lit(0)
-    own = F.pmod(F.xxhash64("node"), count(F.col("band")).cast("long")).cast("int")
-    nodes = nodes.select("*", own.alias("own"), count(F.col("band")).alias("here"), count(F.col("band") + 1).alias("above"))
-    place = lambda band, part, home: F.struct(band.alias("cell"), part.alias("part"), F.lit(home).alias("home"))
-    # at home in a part of its band, a guest in the parts after it and in all of the next band
-    after = F.when(F.col("own") + 1 < F.col("here"), F.sequence(F.col("own") + 1, F.col("here") - 1)).otherwise(F.array().cast("array<int>"))
-    above = F.when(F.col("above") > 0, F.sequence(F.lit(0), F.col("above") - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.concat(F.array(place(F.col("band"), F.col("own"), True)), F.transform(after, lambda k: place(F.col("band"), k, False)), F.transform(above, lambda k: place(F.col("band") + 1, k, False)))
-    dealt = nodes.select("node", "fp", "n", "group", F.explode(places).alias("p")).select("node", "fp", "n", "group", "p.*")
+    """a, b: verified links of nodes that share a shard, enough of them to connect all that are connected within the radius.
+
+    In each shard all are compared with its first text, then what isn't
+    connected to that with the whole shard: a crowd costs a comparison for each
+    of its texts, and all pairs are compared but those that are connected anyway.
+    """
+    shards = nodes.select("node", "fp", "n", F.explode("keys").alias("key"))
+    crowds = shards.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1")
+    members = common.materialise(shards.join(crowds, "key"), "shards")
+    stars = common.materialise(members.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    first = common.materialise(alike(stars, nodes, docs, shingle, similarity), "links")
+    roots = star_roots(first)
+    members = members.join(roots, "node", "left").select("key", "node", "fp", "n", "m", F.coalesce("root", "node").alias("group"))
+    members = common.materialise(members, "members")
+    lead = members.groupBy("key").agg(F.min_by("group", "node").alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key", "lead")
+    rest = members.join(lead, "key").withColumn("out", F.col("group") != F.col("lead"))
+    outs = rest.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("outs"))
+    rest = rest.join(outs, "key")
+    # what isn't connected to the first text is dealt out to blocks, each of which meets the whole shard in parts
+    blocks, parts = F.ceil(F.col("outs") / CELL), F.ceil(F.col("m") / CELL)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    own, part = F.pmod(F.xxhash64("node"), blocks), F.pmod(F.xxhash64("node", F.lit(1)), parts)
+    place = lambda block, part, home: F.struct(block.alias("block"), part.alias("part"), F.lit(home).alias("home"))
+    home = F.when(F.col("out"), F.transform(upto(parts), lambda k: place(own, k, True))).otherwise(F.array().cast("array<struct<block:long,part:long,home:boolean>>"))
+    guest = F.transform(F.filter(upto(blocks), lambda k: ~F.col("out") | (k != own)), lambda k: place(k, part, False))
+    dealt = rest.select("key", "node", "fp", "n", "group", F.explode(F.concat(home, guest)).alias("p")).select("key", "node", "fp", "n", "group", "p.*")
 
     def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         x, node, group, n = b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(np.int64), b["group"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
@@ -371,18 +439,41 @@ def verified_links(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int,
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
-    found = dealt.groupBy("cell", "part").applyInPandas(search, "a long, b long")
-    return first.unionByName(alike(found, whole, docs, shingle, similarity))
+    found = dealt.groupBy("key", "block", "part").applyInPandas(search, "a long, b long").distinct()
+    known = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    found = common.materialise(found.join(known, ["a", "b"], "left_anti"), "pairs")
+    return first.unionByName(alike(found, nodes, docs, shingle, similarity))
 
 
 def keep_one(docs: DataFrame, shingle: int = WORDS, radius: int = REACH, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents with the least id of each component of verified near copies; rows without an id stay, and of a repeated id one row stays."""
+    """One document of each component of verified near copies, all columns.
+
+    It is the row of the least id (null ids come last), then of the least hash
+    of all columns; of rows that are equal in every column one stays. Rows of one id
+    with different texts are judged each by its own text.
+    """
     rows, nodes = distinct_sets(docs, shingle)
     roots = star_roots(verified_links(nodes, docs, shingle, radius, similarity))
-    roots = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    kept = rows.join(roots, "digest").filter("doc_id = root").select(F.col("doc_id").alias("kept_id")).distinct()
-    good = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return good.unionByName(docs.filter("doc_id is null"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")
+    sets = rows.groupBy("node").agg(F.min(first).alias("r"))
+    kept = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("i"), F.col("r.row_hash").alias("h"))
+    every = rows.groupBy(F.col("doc_id").alias("i"), F.col("row_hash").alias("h")).agg(F.count(F.lit(1)).alias("times"))
+    marked = every.join(kept.withColumn("kept", F.lit(True)), every["i"].eqNullSafe(kept["i"]) & (every["h"] == kept["h"]), "left").select(every["i"], every["h"], "times", "kept")
+    marked = common.materialise(marked.filter("kept is null or times > 1"), "marked")
+    names = {c: common.free_name(docs, c) for c in ("row_hash", "marked_id", "marked_hash")}
+    hashed = docs.withColumn(names["row_hash"], row_hash(docs))
+
+    def matched(df: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        marks = marks.select(F.col("i").alias(names["marked_id"]), F.col("h").alias(names["marked_hash"]))
+        on = F.col("doc_id").eqNullSafe(F.col(names["marked_id"])) & (F.col(names["row_hash"]) == F.col(names["marked_hash"]))
+        return df.join(common.small(marks, marks.count()), on, how)
+
+    out = matched(hashed, marked.filter("kept is null"), "left_anti")
+    again = marked.filter("kept")
+    if again.count():  # rows equal in all columns, of which one is kept
+        one = matched(hashed, again, "left_semi").dropDuplicates([names["row_hash"], "doc_id"])
+        out = matched(out, again, "left_anti").unionByName(one)
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark, sf_dir):

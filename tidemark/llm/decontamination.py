@@ -11,10 +11,19 @@ A retrieved item is then verified: shares of the five-word shingles of its
 question (all but the last third of its words) and of its answer (that third)
 that occur among the words around the passage.
 
-The index is broadcast in parts of bounded size; texts are read once for each
-part. Passages overlap so that every item lies whole in one of them.
-Nulls and empty texts, and items without words, match nothing; repeated rows
-match each; other columns aren't read; empty tables give an empty result.
+Item frequencies and the mean length are those of the whole benchmark, whatever
+it is cut into. Items of like length share an index of their own, whose
+passages are two times its longest item and overlap by half, so every item lies
+whole in one of them and a long item doesn't lengthen the passages that others
+are sought in. Indices come in parts of bounded text, broadcast one after the
+other; with several parts texts are read once for each. The driver holds one
+part, and the number of items of each distinct word of the benchmark.
+
+Rows of one item_id are one item's versions: the best is reported. Nulls and
+empty texts, and items without words, match nothing; texts of any length are
+read whole, a bounded number of words at once; of passages with equal scores
+the first is reported; repeated rows match each; ids may be of any type; other
+columns aren't read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +31,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
@@ -36,10 +47,14 @@ K1, B = 1.2, 0.75
 #: Least score (of the item's own), and least shares of question and answer shingles.
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.5
 SHINGLE = 5
-#: Items of a block; bytes of benchmark text of one part of the index.
-BLOCK, PART_BYTES = 8, 32 << 20
-#: Ranges of items with a bound of their own, and half passages bounded at once.
-RANGES, HALVES = 100, 2000
+#: Items of a block; characters of benchmark text of one part of the index.
+BLOCK, PART_CHARS = 8, 4 << 20
+#: Ranges of items with a bound of their own, half passages bounded at once, and words summed at once.
+RANGES, HALVES, WORDS_AT_ONCE = 100, 2000, 1 << 14
+#: Items of up to so many words share an index, then of up to CLASS_STEP times as many, and so on.
+FIRST_CLASS, CLASS_STEP = 128, 8
+#: What sums of bounds may lack of the threshold, as they are of single precision.
+SLACK = 1e-4
 
 
 def words(text: str) -> list[str]:
@@ -51,18 +66,34 @@ def shingles(w: list[str]) -> set[tuple]:
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
+class Statistics:
+    """Of all items of a benchmark: how many have words, their mean length, and how many hold each word."""
+
+    def __init__(self, items):
+        self.n, total, self.df = 0, 0, Counter()
+        for _, text in items:
+            if w := words(text or ""):
+                self.n += 1
+                total += len(w)
+                self.df.update(set(w))
+        self.mean = total / max(1, self.n)
+
+    def idf(self, term: str) -> float:
+        k = self.df[term]
+        return math.log(1 + (self.n - k + 0.5) / (k + 0.5))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple], known: Statistics | None = None):
+        known = known or Statistics(items)
         self.items = [(i, w) for i, t in items if (w := words(t or ""))]
         n = len(self.items)
-        mean = sum(len(w) for _, w in self.items) / max(1, n)
         counts = [Counter(w) for _, w in self.items]
-        df = Counter(t for c in counts for t in c)
-        idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
-        self.term = {t: k for k, t in enumerate(sorted(df))}
+        idf = {t: known.idf(t) for c in counts for t in c}
+        self.term = {t: k for k, t in enumerate(sorted(idf))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for place, c in enumerate(counts):
-            long = K1 * (1 - B + B * len(self.items[place][1]) / mean)
+            long = K1 * (1 - B + B * len(self.items[place][1]) / known.mean)
             weight = {t: idf[t] * f * (K1 + 1) / (f + long) for t, f in c.items()}
             own = sum(weight.values())
             for t, x in weight.items():
@@ -71,7 +102,7 @@ class Index:
         self.weights = [[w for _, w in x] for x in lists]
         self.most = np.array([max(x) for x in self.weights] or [0.0])
         wide = -(-n // RANGES) or 1
-        self.range_most = np.zeros((len(self.term), -(-n // wide) or 1))
+        self.range_most = np.zeros((len(self.term), -(-n // wide) or 1), np.float32)
         for t, (p, x) in enumerate(zip(self.postings, self.weights)):
             np.maximum.at(self.range_most[t], np.array(p) // wide, x)
         # of each block: the last item in it and its greatest weight
@@ -165,24 +196,25 @@ class Index:
         for k in range(0, blocks, HALVES):
             first = self.range_sums(terms, block, fresh, k, min(k + HALVES, blocks))
             second = self.range_sums(terms, block, newer, k + 1, min(k + HALVES, blocks) + 1)
-            out.append(np.flatnonzero((first + second).max(1) >= threshold - 1e-9) + k)
+            out.append(np.flatnonzero((first + second).max(1) >= threshold - SLACK) + k)
         return np.concatenate(out)
 
     def range_sums(self, terms: np.ndarray, block: np.ndarray, keep: np.ndarray, low: int, high: int) -> np.ndarray:
         """For half passages low to high, the sum of their kept terms' greatest weights in each range of items."""
         a, b = np.searchsorted(block, [low, high])
         use = np.flatnonzero(keep[a:b]) + a
-        sums = np.cumsum(self.range_most[terms[use]], axis=0, dtype=np.float64)
-        sums = np.vstack([np.zeros((1, sums.shape[1])), sums])
-        edges = np.searchsorted(block[use], np.arange(low, high + 1))
-        return sums[edges[1:]] - sums[edges[:-1]]
-
-    def leaks(self, text: str, threshold: float, question: float, answer: float) -> list[tuple]:
-        """(item, score, question share, answer share, first word, words) of each leaked item, its best passage."""
-        best: dict[int, tuple] = {}
+        sums = np.zeros((high - low, self.range_most.shape[1]), np.float32)
+        for k in range(0, len(use), WORDS_AT_ONCE):
+            part = use[k : k + WORDS_AT_ONCE]
+            at = block[part] - low
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            sums[at[starts]] += np.add.reduceat(self.range_most[terms[part]], starts, axis=0)
+        return sums
+
+    def leaks(self, w: list[str], best: dict, threshold: float, question: float, answer: float) -> None:
+        """Put (item, score, question share, answer share, first word, words) of each item that leaked into a text of the words ``w`` into ``best``, its best passage."""
         stride = max(8, self.longest)
         number = self.term.get
-        w = words(text)
         ids = np.fromiter((number(x, -1) for x in w), np.int64, len(w))
         for k in self.candidates(ids, stride, threshold).tolist():
             a, b = k * stride, (k + 2) * stride
@@ -198,59 +230,106 @@ class Index:
                     found = (item, score, *shares, a, min(b, len(w)) - a)
                     if item not in best or (score, -a) > (best[item][1], -best[item][4]):
                         best[item] = found
-        return [best[i] for i in sorted(best, key=lambda i: (i is None, i))]
-
 
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, passage_words long"
 
-
-def index_parts(benchmark: DataFrame) -> list[Index]:
-    """The index of the test items in parts of bounded size, built on the driver from a stream of rows."""
-    parts, held, size = [], [], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+class Part:
+    """The indices of some items, one for each class of lengths."""
+
+    def __init__(self, items: list[tuple], known: Statistics | None = None):
+        known = known or Statistics(items)
+        classes: dict[int, list[tuple]] = {}
+        for i, t in items:
+            n, most = len(words(t or "")), FIRST_CLASS
+            while n > most:
+                most *= CLASS_STEP
+            if n:
+                classes.setdefault(most, []).append((i, t))
+        self.indices = [Index(classes[k], known) for k in sorted(classes)]
+
+    def leaks(self, text: str | None, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[tuple]:
+        best: dict = {}
+        if text and self.indices:
+            w = words(text)
+            for index in self.indices:
+                index.leaks(w, best, threshold, question, answer)
+        return [best[i] for i in sorted(best, key=lambda i: (i is None, str(type(i)), i))]
+
+
+MEASURES = "score double, question_overlap double, answer_overlap double, first_word long, passage_words long"
+
+
+def index_parts(benchmark: DataFrame, part_chars: int = PART_CHARS) -> Iterator[Part]:
+    """The index of the test items in parts of bounded size, built on the driver one at a time from a stream of rows; rows of one item_id are in one part."""
+    rows = benchmark.select("item_id", "text").orderBy("item_id", "text")
+    known = Statistics((r["item_id"], r["text"]) for r in rows.toLocalIterator())
+    held, size = [], 0
+    for r in rows.toLocalIterator():
+        if size > part_chars and (r["item_id"] is None or r["item_id"] != held[-1][0]):
+            yield Part(held, known)
+            held, size = [], 0
         held.append((r["item_id"], r["text"]))
         size += len(r["text"] or "")
-        if size > PART_BYTES:
-            parts.append(Index(held))
-            held, size = [], 0
-    return [*parts, Index(held)] if held or not parts else parts
+    yield Part(held, known)
+
 
+def integers(values: pd.Series, kind: str) -> pd.Series:
+    return values.astype("Int64") if kind in ("tinyint", "smallint", "int", "bigint") else values.astype(object)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, part_chars: int = PART_CHARS) -> DataFrame:
     """A row for each document and test item that leaked into it: its best passage and the shares found there."""
     spark = docs.sparkSession
     common.text_batches(spark)
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    out = None
-    for part in index_parts(benchmark):
+    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, {MEASURES}"
+    names = ["doc_id", "item_id", *[x.split()[0] for x in MEASURES.split(", ")]]
+
+    def found_in(part: Part) -> tuple[DataFrame, object]:
         sent = spark.sparkContext.broadcast(part)
 
-        def run(batches, sent=sent):
-            index = sent.value
+        def run(batches):
+            part = sent.value
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) if t for x in index.leaks(t, threshold, question, answer)]
+                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) for x in part.leaks(t, threshold, question, answer)]
                 frame = pd.DataFrame(rows, columns=names)
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame["item_id"] = frame["item_id"].astype("Int64")
+                for c, kind in zip(names, kinds):
+                    frame[c] = integers(frame[c], kind)
                 yield frame
 
-        found = docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return docs.select("doc_id", "text").mapInPandas(run, schema), sent
+
+    out, last = None, None
+    for part in index_parts(benchmark, part_chars):
+        if last is not None:  # one part at a time on the executors
+            found, sent = last
+            found = common.materialise(found, "leaks")
+            sent.destroy()
+            out = found if out is None else out.unionByName(found)
+        last = found_in(part)
+    return last[0] if out is None else out.unionByName(last[0])
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The documents without a leaked test item, all columns; rows are judged by their text alone, whatever their id, and go if it leaks."""
+    spark = docs.sparkSession
+    common.text_batches(spark)
+
+    def without(docs: DataFrame, part: Part) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(part)
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leaked test item, all columns; rows without an id are judged by their text alone and go too if it leaks."""
-    index = index_parts(benchmark)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-    common.text_batches(docs.sparkSession)
-    from pyspark.sql import functions as F
+        @F.pandas_udf("boolean")
+        def leaks(texts: pd.Series) -> pd.Series:
+            return pd.Series([bool(sent.value.leaks(t)) for t in texts], dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def leaks(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(t) and any(i.leaks(t, THRESHOLD, QUESTION, ANSWER) for i in sent.value) for t in texts], dtype=bool)
+        return docs.filter(~leaks("text")), sent
 
-    return docs.filter(~leaks("text"))
+    sent = None
+    for part in index_parts(benchmark, part_chars):
+        if sent is not None:
+            docs = common.materialise(docs, "clean")
+            sent.destroy()
+        docs, sent = without(docs, part)
+    return docs
 
 
 def query(spark, sf_dir):

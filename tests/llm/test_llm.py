@@ -307,6 +307,37 @@ def test_fertility_bands_reject_labelled_junk(spark):
     assert sum(junk) <= 0.4 * len(junk) and sum(clean) >= 0.99 * len(clean)
 
 
+def test_bands_equal_brute_force(spark, odd):
+    """Medians, median absolute deviations, shrinking and the verdict, from the measures of every row."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 > 0, F.col("lang")).alias("lang"))
+    docs = docs.unionByName(odd.select("doc_id", "text", "lang")).unionByName(spark.createDataFrame([(90_000 + k, "слово и дело " * (18 + k) + " ".join(f"к{j}" for j in range(60)), "ru") for k in range(6)], "doc_id long, text string, lang string"))
+    rows = fertility.fertility_rules(docs, PIECES).collect()
+    good = [r for r in rows if not r["base_failed"]]
+    middle = lambda x: sorted(x)[-(-len(x) // 2) - 1]
+    names = [*fertility.MEASURES, "n_sp_tokens"]
+    every = {m: middle([r[m] for r in good]) for m in names}
+    by = defaultdict(list)
+    for r in good:
+        by[r["band_group"]].append(r)
+    assert {"script latin", "group en", "group ru"} <= set(by)
+    share = {g: len(x) / (len(x) + 50) for g, x in by.items()}
+    centre = {g: {m: share[g] * middle([r[m] for r in x]) + (1 - share[g]) * every[m] for m in names} for g, x in by.items()}
+    off = lambda r, m: abs(r[m] - centre[r["band_group"]][m])
+    common_off = {m: middle([off(r, m) for r in good]) for m in names}
+    wide = {g: {m: share[g] * middle([off(r, m) for r in x]) + (1 - share[g]) * common_off[m] for m in names} for g, x in by.items()}
+    for r in rows:
+        want = not r["base_failed"]
+        if want:
+            g = r["band_group"]
+            stretch = max(1, centre[g]["n_sp_tokens"] / max(1, r["n_sp_tokens"])) ** 0.5
+            edges = [(off(r, m), max(fertility.FLOORS[m], 6 * stretch * wide[g][m])) for m in fertility.MEASURES]
+            if any(abs(a - b) < 1e-9 for a, b in edges):
+                continue
+            want = all(a <= b for a, b in edges)
+        assert r["kept"] == want
+    assert sum(not r["kept"] for r in good) >= 10
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li>menu</li></ul></nav><div class='ad x'>buy</div><article><h1>A &amp; B</h1><p><b>one<br>two\n three<p>four &lt;5<ul><li>x<li>y</ul><div class=comments>no</div></article><footer>&copy;</footer><script>var t='</p>';</script>"
     assert style_tree.main_text(page, None) == "A & B\none two three\nfour <5\nx\ny"
@@ -379,6 +410,62 @@ def test_leaks(spark, odd, empty):
     assert decontamination.clean(odd, benchmark).columns == odd.columns
 
 
+def brute_leaks(docs: list[tuple], items: list[tuple]) -> set[tuple]:
+    """Every passage against every item: BM25 by its formula, then the shares of shingles."""
+    tokens = {i: decontamination.words(t) for i, t in items}
+    df = Counter(t for w in tokens.values() for t in set(w))
+    mean, longest = sum(map(len, tokens.values())) / len(tokens), max(map(len, tokens.values()))
+    idf = {t: np.log(1 + (len(tokens) - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+    weights = {}
+    for i, w in tokens.items():
+        c = Counter(w)
+        x = {t: idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, f in c.items()}
+        weights[i] = {t: v / sum(x.values()) for t, v in x.items()}
+    out = set()
+    for d, text in docs:
+        w = decontamination.words(text or "")
+        for a in range(0, len(w), longest):
+            part, near = set(w[a : a + 2 * longest]), w[max(0, a - longest) : a + 3 * longest]
+            for i, x in weights.items():
+                if (d, i) not in out and sum(x[t] for t in part if t in x) >= 0.6 - 1e-9:
+                    cut = len(tokens[i]) - max(1, len(tokens[i]) // 3)
+                    have = [set(zip(*[near[k:] for k in range(n)])) for n in range(6)]
+                    share = [sum(s in have[len(s)] for s in decontamination.shingles(side)) / len(decontamination.shingles(side)) for side in (tokens[i][:cut], tokens[i][cut:])]
+                    if share[0] >= 0.6 and share[1] >= 0.5:
+                        out.add((d, i))
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    items = connection(SF).execute("SELECT item_id, text FROM benchmark").fetchall()
+    rng = random.Random(12)
+    words = [w for r in documents()[:40] for w in r[1].split()]
+    docs = [(d, t) for d, t, *_ in documents()]
+    for k in range(60):  # pieces of items, some of which are enough
+        t = rng.choice(items)[1].split()
+        t = t[: rng.randrange(len(t) // 2, len(t))] if k % 2 else [rng.choice(words) if rng.random() < 0.03 * (k % 5) else x for x in t]
+        docs.append((10_000 + k, " ".join(rng.sample(words, 150) + t + rng.sample(words, 90))))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(table, common.table(spark, SF, "benchmark")).collect()}
+    want = brute_leaks(docs, items)
+    assert found == want and len(want) > 20
+
+
+def test_parts_and_lengths_of_the_index_change_nothing(spark):
+    benchmark = common.table(spark, SF, "benchmark")
+    words = [w for r in documents()[:40] for w in r[1].split()]
+    long = " ".join(words[:3000])
+    benchmark = benchmark.unionByName(spark.createDataFrame([(5000, long), (1, "another version of the first item with words of its own in it")], "item_id long, text string"))
+    docs = common.table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(9000, "before it " + long + " after it"), (9001, long[:4000])], "doc_id long, text string"))
+    rows = lambda **k: sorted(map(tuple, decontamination.contaminated(docs, benchmark, **k).collect()))
+    whole = rows()
+    assert whole == rows(part_chars=300) and [r[:2] for r in whole if r[0] >= 9000] == [(9000, 5000)]
+    left = lambda **k: {r["doc_id"] for r in decontamination.clean(docs, benchmark, **k).collect()}
+    assert left() == left(part_chars=2000) == {r["doc_id"] for r in docs.collect()} - {r[0] for r in whole}
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert sorted(int(r["doc_id"][1:]) for r in decontamination.contaminated(named, benchmark.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text")).collect()) == sorted(r[0] for r in whole)
+
+
 def brute_components(fps: dict[int, int]) -> dict[int, int]:
     ids = sorted(fps)
     x = np.array([fps[i] for i in ids], np.int64).view(np.uint64)

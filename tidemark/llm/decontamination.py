@@ -66,16 +66,25 @@ def shingles(w: list[str]) -> set[tuple]:
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
+def length_class(n: int) -> int:
+    """The greatest length of the items that share an index with one of n words."""
+    most = FIRST_CLASS
+    while n > most:
+        most *= CLASS_STEP
+    return most
+
+
 class Statistics:
-    """Of all items of a benchmark: how many have words, their mean length, and how many hold each word."""
+    """Of all items of a benchmark: how many have words, their mean length, how many hold each word, and the longest of each class of lengths."""
 
     def __init__(self, items):
-        self.n, total, self.df = 0, 0, Counter()
+        self.n, total, self.df, self.longest = 0, 0, Counter(), Counter()
         for _, text in items:
             if w := words(text or ""):
                 self.n += 1
                 total += len(w)
                 self.df.update(set(w))
+                self.longest[length_class(len(w))] = max(self.longest[length_class(len(w))], len(w))
         self.mean = total / max(1, self.n)
 
     def idf(self, term: str) -> float:
@@ -112,7 +121,7 @@ class Index:
         for _, w in self.items:
             cut = len(w) - max(1, len(w) // 3) if len(w) > 1 else len(w)
             self.parts.append((shingles(w[:cut]), shingles(w[cut:])))
-        self.longest = max((len(w) for _, w in self.items), default=0)
+        self.longest = max((known.longest[length_class(len(w))] for _, w in self.items), default=0)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (place, score) of at least the threshold, by block-max WAND. terms: distinct."""
@@ -239,11 +248,8 @@ class Part:
         known = known or Statistics(items)
         classes: dict[int, list[tuple]] = {}
         for i, t in items:
-            n, most = len(words(t or "")), FIRST_CLASS
-            while n > most:
-                most *= CLASS_STEP
-            if n:
-                classes.setdefault(most, []).append((i, t))
+            if n := len(words(t or "")):
+                classes.setdefault(length_class(n), []).append((i, t))
         self.indices = [Index(classes[k], known) for k in sorted(classes)]
 
     def leaks(self, text: str | None, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[tuple]:

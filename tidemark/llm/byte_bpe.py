@@ -24,7 +24,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text that are split at once.
 SPAN = 1 << 20
 #: Pieces kept with their result (in each of two generations), and the longest piece kept.
-KEPT_PIECES, KEPT_CHARS = 400_000, 48
+KEPT_PIECES, KEPT_CHARS = 100_000, 48
 #: Bits of a heap entry that hold the position.
 POSITION = 32
 

@@ -34,7 +34,7 @@ from tidemark.llm import byte_bpe, common
 #: Bits of the hash that must vanish at a cut; the least and greatest bytes of a chunk.
 CUT_BITS, LEAST, GREATEST = 10, 256, 8192
 #: Bytes of chunk texts that a worker keeps, and bytes hashed at once.
-KEPT_BYTES, HASHED = 24 << 20, 1 << 20
+KEPT_BYTES, HASHED = 8 << 20, 1 << 20
 
 _gear = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 

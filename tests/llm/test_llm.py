@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -351,7 +352,7 @@ def test_style_tree_prunes_what_pages_share(spark):
     pages = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "page_id long, url string, html string, host string, salt string, low string")
     got = {r["page_id"]: r for r in style_tree.extract(pages).collect()}
     assert got[3]["text"] == "Story 3 alone\nand more of 21" and got[3]["n_chars"] == len(got[3]["text"])
-    assert got[50]["text"] == got[51]["text"] == "" and "Contact us" in got[52]["text"]
+    assert got[50]["text"] == got[51]["text"] == "" and got[52]["text"] == "Story 99 alone\nand more of 693"  # by the common tree
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
@@ -373,6 +374,30 @@ def test_copies_of_a_page_are_one_page_of_the_tree(spark):
     assert all(style_tree.MAIN_END and r["low"] == ["/body/div.page/article/p"] for r in style_tree.low_branches(pages).collect())
 
 
+def test_deep_and_broken_pages():
+    text = style_tree.main_text
+    assert text("<nav>" + "<div>" * 70 + "menu</nav><article>Real text</article>", None) == "Real text"
+    for depth in (1000, 20_000):
+        assert text("<div>" * depth + "deep", None) == "deep"
+        assert text("<nav>" + "<div>" * depth + "menu" + "</div>" * depth + "</nav><p>Real", None) == "Real"
+    assert text("<p>a" + "<b>" * 100 + "b<div>c</div>", None) == "ab\nc"
+    assert text("<div class='share-price'>12 euros</div><div class='related-work'>Others</div><div class='share-buttons'>x</div><div id='site-footer'>y</div><div class='post-comments'>z</div>", None) == "12 euros\nOthers"
+    assert text("<div class='w-1/2'>half</div>", ["/div.w-1"]) == "half"
+    start = time.time()
+    text("<div><b><li><p>" * 20_000, None)
+    assert time.time() - start < 20
+
+
+def test_hosts_of_few_pages_use_the_common_tree(spark):
+    make = lambda i: f"<body><div class='k'>All about us and more</div><div class='t'><p>Story {i} alone</p></div></body>"
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", make(100 * h + i)) for h in range(3) for i in range(10)] + [(900, "http://one.org/", make(900)), (901, "http://two.org/", make(901)), (902, "http://two.org/2", make(902))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()} == {i: f"Story {i} alone" for i, _, _ in rows}
+    # alone, two near copies are no evidence
+    pair = spark.createDataFrame([(1, "http://p.org/1", make(1)), (2, "http://p.org/2", make(1) + "<!-- -->")], "page_id long, url string, html string")
+    assert all("Story 1 alone" in r["text"] for r in style_tree.extract(pair).collect())
+
+
 def test_pages_table(spark):
     rows = style_tree.query(spark, SF).collect()
     assert len(rows) == 50 and all(r["text"] and "var t" not in r["text"] and "©" not in r["text"] for r in rows)

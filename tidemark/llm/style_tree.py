@@ -10,21 +10,30 @@ below it; branches under a bound are removed from each page of the host.
 
 Trees are built as grouped sums, never as one object: pages give (host, path,
 kind, hash) rows that are counted, and every entropy follows from sums of
-n and n ln n. Hosts of few pages have no tree; there and everywhere the element
-names and class names of menus, adverts and the like remove branches as well,
+n and n ln n. An element's path has its name and stable classes (those without
+digits; ids aren't part of it) and those of the ``LEVELS`` outermost elements
+it lies in; what lies deeper is judged with them, and its text is kept or
+removed like theirs. A host's importance of a path is shrunk to that of all
+hosts by the number of its pages, and that to 1 in the same way, so a host of
+one page has the common tree and there is no least number of pages. The names
+of elements and classes of menus, adverts and the like remove branches as well,
 and a page with a main element gives the text in it.
 
 Null and empty pages have empty text. A null or odd URL belongs to the host
 ``''``. Copies of a page on a host are one page to its tree: each adds its share
 of one. A branch that holds an ``article`` or ``main`` is never removed, branches
-inside one are. Broken markup never fails: unclosed
-elements end with the page. Other columns aren't read.
+inside one are. Broken markup never fails: unclosed elements end with the page,
+however deep they are nested. Pages of any length are read whole, in time that
+follows their length; a branch whose importance equals the bound stays; repeated
+rows give equal texts; an empty table gives an empty result; other columns
+aren't read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,8 +43,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Pages that a host needs for a tree; bound and mix of the composite importance.
-LEAST_PAGES, LEAST_IMPORTANCE, OWN_SHARE = 4, 0.35, 0.1
+#: Bound and mix of the composite importance; pages that weigh as much as what an importance is shrunk to; levels of a path.
+LEAST_IMPORTANCE, OWN_SHARE, SHRINK, LEVELS = 0.35, 0.1, 3.0, 64
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +56,10 @@ SCOPES = frozenset("table ul ol dl td th body html".split())
 #: Elements, roles and class words that aren't main text.
 DROPPED = frozenset("head nav header footer aside form button dialog menu script style template noscript iframe object svg math canvas select textarea title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-UNWANTED = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar widget cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup social share sharing related recommended comment comments disqus replies footer header masthead copyright login toolbar pagination pager skip".split())
+#: Words of classes and ids that say so wherever they occur, those that say so with none but plain words beside them, and plain words.
+STRONG = frozenset("ad ads advert advertisement advertising sponsored cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs sidebar newsletter comment comments disqus masthead pagination pager".split())
+WEAK = frozenset("banner sponsor promo promotion menu widget notice notification popup modal subscribe signup social share sharing related recommended replies footer header copyright login toolbar skip".split())
+PLAIN = frozenset("site page global box bar area block wrap wrapper container section list item items link links button buttons icon icons top bottom left right inner outer main posts stories articles".split())
 MAIN = frozenset("article main".split())
 #: Paths that end at one of them, with classes or without.
 MAIN_END = r"/(article|main)(\.[^/]*)?$"
@@ -56,39 +68,65 @@ _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _attribute = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _word = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
+_number = re.compile(r"\d")
+_slash = re.compile("/")
 
 
 class Block:
-    __slots__ = ("path", "text", "main")
+    __slots__ = ("path", "text", "main", "unwanted")
 
-    def __init__(self, path: str, text: str, main: bool):
-        self.path, self.text, self.main = path, text, main
+    def __init__(self, path: str, text: str, main: bool, unwanted: bool):
+        self.path, self.text, self.main, self.unwanted = path, text, main, unwanted
+
+
+class Element:
+    """An open element. ``block`` is itself, or of an inline element the block element around it; ``level`` counts from the page."""
+
+    __slots__ = ("tag", "path", "children", "unwanted", "main", "block", "level")
+
+    def __init__(self, tag: str, path: str, unwanted: bool, main: bool, level: int, parent: Element | None):
+        self.tag, self.path, self.unwanted, self.main, self.level = tag, path, unwanted, main, level
+        self.children: list[str] = []
+        self.block = parent.block if parent is not None and tag in INLINE else self
+
+
+def names_unwanted(value: str) -> bool:
+    """Whether a class or id names what isn't main text."""
+    for token in value.split():
+        found = set(_word.findall(token))
+        if not STRONG.isdisjoint(found) or not WEAK.isdisjoint(found) and found <= WEAK | PLAIN:
+            return True
+    return False
 
 
 def label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name in a path (with its classes), and whether name, role or classes say that it isn't main text."""
-    unwanted, names = tag in DROPPED, []
+    """The element's name in a path (with its stable classes), and whether name, role or classes say that it isn't main text."""
+    unwanted, stable = tag in DROPPED, set()
     if attributes:
         for name, value in _attribute.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                names.append(value)
+                if name == "class":
+                    stable |= {x.replace("/", "_") for x in value.split() if not _number.search(x)}
                 if tag not in ("html", "body"):
-                    unwanted = unwanted or not UNWANTED.isdisjoint(_word.findall(value))
+                    unwanted = unwanted or names_unwanted(value)
             elif name == "role":
                 unwanted = unwanted or value in ROLES
             elif name == "hidden" or value == "true":
                 unwanted = True
-    return (f"{tag}.{' '.join(names)}" if names else tag), unwanted
+    tag = tag.replace("/", "_")
+    if not stable:
+        return tag, unwanted
+    classes = " ".join(sorted(stable))
+    return f"{tag}.{classes if len(classes) <= 40 else xxhash.xxh64_hexdigest(classes.encode('utf-8', 'replace'))}", unwanted
 
 
-def walk(page: str) -> tuple[list[Block], dict[str, set[str]], set[str]]:
-    """Text blocks in page order, the presentations of each element path, and the paths that names mark as unwanted."""
+def walk(page: str) -> tuple[list[Block], dict[str, set[str]]]:
+    """Text blocks in page order, and the presentations of each element path."""
     blocks: list[Block] = []
     styles: dict[str, set[str]] = {}
-    unwanted: set[str] = set()
-    # open elements: tag, path, child names (runs are one), unwanted, main
-    stack: list[tuple] = [("", "", [], False, False)]
+    stack = [Element("", "", False, False, 0, None)]
+    opened: Counter = Counter()
     held: list[str] = []
     at, n = 0, len(page)
 
@@ -98,14 +136,13 @@ def walk(page: str) -> tuple[list[Block], dict[str, set[str]], set[str]]:
             held.clear()
             if text:
                 top = stack[-1]
-                while top[0] in INLINE and len(stack) > 1:
-                    top = stack[-2] if len(stack) == 2 else next(x for x in reversed(stack) if x[0] not in INLINE)
-                blocks.append(Block(stack[-1][1] if stack[-1][3] else top[1], text, stack[-1][4]))
+                blocks.append(Block(top.path if top.unwanted else top.block.path, text, top.main, top.unwanted))
 
     def close() -> None:
-        tag, path, children, _, _ = stack.pop()
-        if tag not in INLINE:
-            styles.setdefault(path, set()).add(" ".join(children))
+        e = stack.pop()
+        opened[e.tag] -= 1
+        if e.tag not in INLINE:
+            styles.setdefault(e.path, set()).add(" ".join(e.children))
 
     while at < n:
         m = _token.match(page, at)
@@ -120,10 +157,10 @@ def walk(page: str) -> tuple[list[Block], dict[str, set[str]], set[str]]:
             continue
         tag = tag.lower()
         if m[1]:  # end tag
-            if any(x[0] == tag for x in stack[-64:]):
+            if opened[tag] > 0:
                 if tag not in INLINE:
                     flush()
-                while stack[-1][0] != tag:
+                while stack[-1].tag != tag:
                     close()
                 close()
             elif tag == "p":
@@ -135,26 +172,25 @@ def walk(page: str) -> tuple[list[Block], dict[str, set[str]], set[str]]:
                 continue
         else:
             flush()
-            if tag in CLOSES_P:
-                while any(x[0] == "p" for x in stack[-16:]) and not any(x[0] in SCOPES for x in stack[-16:] if x[0] == "p"):
-                    k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                    if any(x[0] not in INLINE for x in stack[k + 1 :]):
-                        break
-                    while len(stack) > k:
-                        close()
-            if tag in ENDS:
+            # a paragraph ends where a block begins, with the inline elements open in it
+            if tag in CLOSES_P and stack[-1].block.tag == "p":
+                paragraph = stack[-1].block
+                while stack[-1] is not paragraph:
+                    close()
+                close()
+            if tag in ENDS and any(opened[x] > 0 for x in ENDS[tag]):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ENDS[tag]:
+                    if stack[k].tag in ENDS[tag]:
                         while len(stack) > k:
                             close()
                         break
-                    if stack[k][0] in SCOPES:
+                    if stack[k].tag in SCOPES:
                         break
         attributes = m[3] or ""
         name, bad = label(tag, attributes)
         parent = stack[-1]
-        if tag not in INLINE and (not parent[2] or parent[2][-1] != name):
-            parent[2].append(name)
+        if tag not in INLINE and (not parent.children or parent.children[-1] != name):
+            parent.children.append(name)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -162,28 +198,35 @@ def walk(page: str) -> tuple[list[Block], dict[str, set[str]], set[str]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        bad = bad or parent[3]
+        bad = bad or parent.unwanted
         if attributes.endswith("/") and tag not in CLOSES_P:
             continue
-        path = f"{parent[1]}/{name}"
-        if bad:
-            unwanted.add(path)
-        stack.append((tag, path, [], bad, (parent[4] or tag in MAIN or "role=\"main\"" in attributes) and not bad))
-        if len(stack) > 400:  # no page means that deep a tree: its elements end here
-            stack.pop()
+        path = f"{parent.path}/{name}" if parent.level < LEVELS else parent.path
+        main = (parent.main or tag in MAIN or "role=\"main\"" in attributes) and not bad
+        stack.append(Element(tag, path, bad, main, parent.level + 1, parent))
+        opened[tag] += 1
     flush()
     while len(stack) > 1:
         close()
-    return blocks, styles, unwanted
+    return blocks, styles
 
 
 def main_text(page: str | None, low: list[str] | None) -> str:
     """The page's main text, without the branches ``low`` of its host's tree."""
     if not page:
         return ""
-    blocks, _, unwanted = walk(page)
-    low_paths = tuple(low) if low is not None and len(low) else ()
-    kept = [b for b in blocks if b.path not in unwanted and not any(b.path == p or b.path.startswith(p + "/") for p in low_paths)]
+    blocks, _ = walk(page)
+    removed = frozenset(low) if low is not None and len(low) else frozenset()
+    lost: dict[str, bool] = {}
+
+    def in_removed(path: str) -> bool:
+        """Whether the path or one above it is removed; each path is looked up once."""
+        if path not in lost:
+            ends = [m.start() for m in _slash.finditer(path)][1:] + [len(path)]
+            lost[path] = any(path[:e] in removed for e in ends)
+        return lost[path]
+
+    kept = [b for b in blocks if not b.unwanted and not (removed and in_removed(b.path))]
     if any(b.main for b in kept):
         kept = [b for b in kept if b.main]
     return "\n".join(b.text for b in kept)
@@ -211,7 +254,7 @@ def observations(pages: DataFrame) -> DataFrame:
             for h, page, share in zip(b["host"], b["html"], b["share"]):
                 if not page:
                     continue
-                blocks, styles, _ = walk(page)
+                blocks, styles = walk(page)
                 seen = {(x.path, 1, x.text) for x in blocks} | {(p, 0, s) for p, x in styles.items() for s in x}
                 for path, kind, what in seen:
                     hosts.append(h)
@@ -224,7 +267,7 @@ def observations(pages: DataFrame) -> DataFrame:
     return shares(pages).mapInPandas(run, "host string, path string, kind byte, hash long, share double")
 
 
-def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE, own: float = OWN_SHARE) -> DataFrame:
+def low_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, own: float = OWN_SHARE, shrink: float = SHRINK) -> DataFrame:
     """host, low array<string>: the highest branches of each host whose composite importance is under ``least``."""
     seen = observations(pages).groupBy("host", "path", "kind", "hash").agg(F.round(F.sum("share")).alias("n"))
     n = F.col("n")
@@ -244,7 +287,13 @@ def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float
     of_page = F.log("pages")
     style = 1 - F.col("style") / (F.col("pages") * of_page)
     content = 1 - F.least(F.lit(1.0), F.col("below_log") / (F.col("below") * of_page))
-    low = tree.filter(F.col("pages") >= least_pages).filter(own * style + (1 - own) * content < least)
+    # a page alone tells nothing: all but the first count
+    tree = tree.select("host", "path", (F.col("pages") - 1).alias("more"), F.when(F.col("pages") > 1, own * style + (1 - own) * content).otherwise(F.lit(1.0)).alias("importance"))
+    tree = common.materialise(tree, "trees")
+    pooled = tree.groupBy("path").agg(((F.sum(F.col("more") * F.col("importance")) + shrink) / (F.sum("more") + shrink)).alias("pooled"))
+    pooled = common.materialise(pooled, "pooled")
+    tree = common.join_small(tree, pooled, ["path"], "inner", pooled.count(), 256)
+    low = tree.filter((F.col("more") * F.col("importance") + shrink * F.col("pooled")) / (F.col("more") + shrink) < least)
     low = low.filter(~F.col("path").rlike(r"^(/html[^/]*)?(/body[^/]*)?$") & ~F.col("path").rlike(MAIN_END))
     # what holds an article or main stays, whatever its importance
     holders = F.filter(above, lambda p: p.rlike(MAIN_END))
@@ -258,14 +307,15 @@ def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    trees = common.materialise(low_branches(pages), "trees")
+    trees = common.materialise(low_branches(pages), "low")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    n = trees.count()
-    salts = 1 if n <= common.BROADCAST_ROWS else 64
+    n, size = trees.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.concat_ws("/", "low"))), F.lit(0))).first()
+    each = size // max(1, n) + 64
+    salts = 1 if n <= common.BROADCAST_ROWS and n * each <= common.BROADCAST_BYTES else 64
     # a host of many pages is spread over salts when its tree isn't broadcast
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
     trees = trees.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    rows = common.join_small(rows, trees, ["host", "salt"], "left", n)
+    rows = common.join_small(rows, trees, ["host", "salt"], "left", n, each)
 
     @F.pandas_udf("string")
     def run(page: pd.Series, low: pd.Series) -> pd.Series:

@@ -1,7 +1,11 @@
 """Documents to token sequences in five stages, each written and read again.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.
+last return the columns of documents. Rows are judged by what they hold, not by
+their id, so null and repeated ids take no other rows with them; null and empty
+texts go at the first stage, as their language isn't known; texts of any length
+are read whole; of rows equal in all columns the near-duplicate stage keeps one;
+extra columns stay, whatever their names; an empty table passes all stages.
 """
 
 from __future__ import annotations

@@ -580,7 +580,7 @@ def brute_survivors(texts: dict[int, str | None]) -> set[int]:
     return {d for i, d in enumerate(ids) if forest.roots(np.array([i]))[0] == i}
 
 
-def test_keep_one_links_what_jaccard_links(spark):
+def test_keep_one_links_what_jaccard_links(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(3000)}"
     texts, at = {}, 1
@@ -604,6 +604,10 @@ def test_keep_one_links_what_jaccard_links(spark):
     want = brute_survivors(texts)
     got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert want <= got and 60 < len(want) < 300 and len(texts) - len(got) >= 0.995 * (len(texts) - len(want))
+    monkeypatch.setattr(simhash, "SET_SIZES", 5000)  # shards in several blocks and parts
+    monkeypatch.setattr(simhash, "VERIFIED_AT_ONCE", 3)
+    monkeypatch.setattr(simhash, "ROUNDS", 0)  # whole shards alone
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == got
 
 
 def test_crowds_are_linked_exactly(spark):

@@ -56,6 +56,8 @@ BANDS, BAND, PAIRS_EACH = 16, 3, 500
 AGREE, ROUNDS = 24, 3
 #: Of keep_one, before a pair found in a whole shard is verified: least hashes kept, and shared at least (410 on average at 0.8, deviation 9).
 WIDE, WIDE_AGREE = 512, 373
+#: Of keep_one: shingles of the sets of a block or part of a shard, about; sets verified at once against another.
+SET_SIZES, VERIFIED_AT_ONCE = 4_000_000, 64
 #: Fingerprints of a cell at home on average; fewest cells; sampled fingerprints for each cell and at most.
 CELL, LEAST_CELLS, SAMPLE_EACH, MOST_SAMPLE = 20_000, 48, 64, 1 << 22
 #: Rows of a frame that a task hands on.
@@ -356,8 +358,12 @@ def band_keys(h: np.ndarray) -> tuple[np.ndarray, bytes]:
     if not len(h):
         return np.empty(0, np.int64), b""
     least = least_of(h, BANDS * BAND)
+    return keys_of(least), sketch(least)
+
+
+def keys_of(least: np.ndarray) -> np.ndarray:
     keys = (least.reshape(BANDS, BAND) * _mix).sum(1, dtype=np.uint64)
-    return (keys ^ keys >> np.uint64(31)).view(np.int64), sketch(least)
+    return (keys ^ keys >> np.uint64(31)).view(np.int64)
 
 
 def sketches(column: pd.Series) -> np.ndarray:
@@ -437,8 +443,10 @@ def verified_links(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int,
     In a few rounds each text is compared with one other, the most alike of the
     texts that stand for its shards and aren't connected to it yet. What isn't
     connected to the first text of a shard after that is compared with the whole
-    shard. So a crowd costs a few comparisons for each of its texts, and all pairs
-    are compared but those that are connected anyway.
+    shard: first by sketches, which leaves the texts that meet one they may be
+    similar to, then these by their whole sets, in the first shard of each pair.
+    A shard hands on rows and a forest of links, never pairs, so what is written
+    grows with its texts; all pairs are compared but those that are connected anyway.
     """
     # dealt out once: the count of each key and the join with it need no shuffle of their own
     shards = nodes.select("node", "fp", "n", "sketch", F.explode("keys").alias("key")).repartition("key")
@@ -462,37 +470,102 @@ def verified_links(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int,
     lead = members.groupBy("key").agg(F.min_by("group", "node").alias("lead"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key", "lead")
     rest = common.materialise(members.join(lead, "key").withColumn("out", F.col("group") != F.col("lead")).drop("sketch"), "rest")
 
-    @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(least_of(np.unique(shingle_hashes(x, shingle)), WIDE)) for x in texts])
-
-    rest = rest.join(of_texts(rest.select("node").distinct(), nodes, docs, wide).withColumnRenamed("s", "sketch"), "node")
-    outs = rest.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("outs"))
+    @F.pandas_udf("sketch binary, bands binary")
+    def wide(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            least = least_of(np.unique(shingle_hashes(x, shingle)), WIDE)
+            rows.append((sketch(least), keys_of(least[: BANDS * BAND]).tobytes()))
+        return pd.DataFrame(rows, columns=["sketch", "bands"])
+
+    rest = rest.join(of_texts(rest.select("node").distinct(), nodes, docs, wide).select("node", "s.*"), "node")
+    outs = rest.groupBy("key").agg(
+        F.sum(F.col("out").cast("long")).alias("outs"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("out_size"), F.sum("n").alias("size")
+    )
     rest = rest.join(outs, "key")
     # what isn't connected to the first text is dealt out to blocks, each of which meets the whole shard in parts
-    blocks, parts = F.ceil(F.col("outs") / CELL), F.ceil(F.col("m") / CELL)
+    blocks = F.ceil(F.greatest(F.col("outs") / CELL, F.col("out_size") / SET_SIZES))
+    parts = F.ceil(F.greatest(F.col("m") / CELL, F.col("size") / SET_SIZES))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
     own, part = F.pmod(F.xxhash64("node"), blocks), F.pmod(F.xxhash64("node", F.lit(1)), parts)
     place = lambda block, part, home: F.struct(block.alias("block"), part.alias("part"), F.lit(home).alias("home"))
     home = F.when(F.col("out"), F.transform(upto(parts), lambda k: place(own, k, True))).otherwise(F.array().cast("array<struct<block:long,part:long,home:boolean>>"))
     guest = F.transform(F.filter(upto(blocks), lambda k: ~F.col("out") | (k != own)), lambda k: place(k, part, False))
-    dealt = rest.select("key", "node", "fp", "n", "sketch", "group", F.explode(F.concat(home, guest)).alias("p")).select("key", "node", "fp", "n", "sketch", "group", "p.*")
+    columns = ["node", "fp", "n", "sketch", "bands", "group"]
+    dealt = rest.select("key", *columns, F.explode(F.concat(home, guest)).alias("p")).select("key", "p.*", *columns)
 
-    def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        x, node, group, n = b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(np.int64), b["group"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
-        out, same = [np.empty((2, 0), np.int64)], sketches(b["sketch"])
+    def candidates(key: int, b: pd.DataFrame):
+        """Places (i, j) and shared least hashes of pairs of different groups to verify in this shard: the first they share."""
+        x, group, n = b["fp"].to_numpy(np.int64).view(np.uint64), b["group"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
+        same, bands = sketches(b["sketch"]), sketches(b["bands"]).view(np.int64)
         for i, j in close_pairs(x, b["home"].to_numpy(bool), radius):
             use = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
             i, j = i[use], j[use]
             for k in range(0, len(i), 1 << 14):
                 p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                use = (same[p] == same[q]).sum(1) >= WIDE_AGREE
-                out.append(np.stack([np.maximum(node[p[use]], node[q[use]]), np.minimum(node[p[use]], node[q[use]])]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pd.DataFrame({"a": a, "b": b})
+                shared = bands[p] == bands[q]
+                use = bands[p, shared.argmax(1)] == key
+                p, q = p[use], q[use]
+                count = (same[p] == same[q]).sum(1)
+                use = count >= WIDE_AGREE
+                yield p[use], q[use], count[use]
+
+    def meeting(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        """The rows that are in a pair to verify."""
+        used = np.zeros(len(b), bool)
+        for i, j, _ in candidates(key[0], b):
+            used[i] = used[j] = True
+        return b[used]
+
+    def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        """Verified links, no more than it takes to connect the rows: pairs that are connected by then aren't verified."""
+        b = b.sort_values("node", kind="stable").reset_index(drop=True)
+        node, sets, forest, out = b["node"].to_numpy(np.int64), list(b["s"]), Forest(len(b)), []
+        of_group = b.groupby("group").cumcount(), b.groupby("group")["node"].transform("idxmin")
+        forest.union(np.flatnonzero(of_group[0] > 0), of_group[1].to_numpy()[of_group[0] > 0])
+
+        def verify(i: int, others: np.ndarray) -> None:
+            one = sets[i]
+            ends = np.cumsum([len(sets[j]) for j in others])
+            joined = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+            hits = np.concatenate([[0], np.cumsum(one[at] == joined)])
+            sizes = np.diff(ends, prepend=0)
+            shared = hits[ends] - hits[ends - sizes]
+            linked = others[shared >= similarity * (len(one) + sizes - shared)]
+            if len(linked):
+                linked = linked[np.unique(forest.roots(linked), return_index=True)[1]]
+                out.extend((node[i], node[j]) for j in linked)
+                forest.union(np.full(len(linked), i), linked)
+
+        for i, j, count in candidates(key[0], b):
+            order = np.lexsort((-count, i))
+            i, j = i[order], j[order]
+            firsts = np.flatnonzero(np.diff(i, prepend=-1))
+            for at, others in zip(i[firsts], np.split(j, firsts[1:])):
+                for only_best in (True, False):  # the most alike of each component, then what that didn't connect
+                    roots = forest.roots(others)
+                    open_ = roots != forest.roots(np.array([at]))[0]
+                    others, roots = others[open_], roots[open_]
+                    best = np.unique(roots, return_index=True)[1] if only_best else np.arange(len(others))
+                    for k in range(0, len(best), VERIFIED_AT_ONCE):
+                        verify(at, others[best[k : k + VERIFIED_AT_ONCE]])
+                    if only_best:
+                        others = np.delete(others, best)
+                    if not len(others):
+                        break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    found = common.materialise(dealt.groupBy("key", "block", "part").applyInPandas(search, "a long, b long").distinct(), "pairs")
-    return every.unionByName(alike(found, nodes, docs, shingle, similarity))
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(x, shingle).view(np.int64)) for x in texts])
+
+    schema = dealt.schema
+    met = common.materialise(dealt.groupBy("key", "block", "part").applyInPandas(meeting, schema), "meeting")
+    if not met.count():
+        return every
+    whole = met.join(of_texts(met.select("node").distinct(), nodes, docs, sets), "node").select(*schema.names, "s")
+    return every.unionByName(common.materialise(whole.groupBy("key", "block", "part").applyInPandas(search, "a long, b long"), "links"))
 
 
 def keep_one(docs: DataFrame, shingle: int = WORDS, radius: int = REACH, similarity: float = SIMILARITY) -> DataFrame:

@@ -64,8 +64,8 @@ CELL, LEAST_CELLS, SAMPLE_EACH, MOST_SAMPLE = 20_000, 48, 64, 1 << 22
 FRAME = 100_000
 #: A hub has at least this share of the sample within the radius; hubs at most; points compared to find them.
 HUB_SHARE, MOST_HUBS, HUB_SAMPLE = 0.004, 64, 4096
-#: Residents under which a cell's tree ends, and residents compared at once.
-LEAF = 192
+#: Residents under which a cell's tree ends, and residents compared at once; others, or pairs, compared with these at once (a few MB).
+LEAF, OTHERS = 192, 1 << 12
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
 #: Node ids from here up stand for fingerprints without a document id.
@@ -232,8 +232,8 @@ def close_pairs(x: np.ndarray, home: np.ndarray, radius: int = RADIUS, seed: int
             for k in range(0, len(own), LEAF):
                 part = own[k : k + LEAF]
                 others = np.concatenate([own[k:], guests])
-                for o in range(0, len(others), 1 << 14):
-                    other = others[o : o + (1 << 14)]
+                for o in range(0, len(others), OTHERS):
+                    other = others[o : o + OTHERS]
                     i, j = np.nonzero(np.bitwise_count(x[part][:, None] ^ x[other][None, :]) <= radius)
                     yield part[i], other[j]
             continue
@@ -501,8 +501,8 @@ def verified_links(nodes: DataFrame, docs: DataFrame, shingle: int, radius: int,
         for i, j in close_pairs(x, b["home"].to_numpy(bool), radius):
             use = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
             i, j = i[use], j[use]
-            for k in range(0, len(i), 1 << 14):
-                p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            for k in range(0, len(i), OTHERS):
+                p, q = i[k : k + OTHERS], j[k : k + OTHERS]
                 shared = bands[p] == bands[q]
                 use = bands[p, shared.argmax(1)] == key
                 p, q = p[use], q[use]

@@ -1,5 +1,6 @@
 """Calls, futures and reducers, over items and over parts of objects."""
 
+import ast
 import os
 import random
 import time
@@ -8,7 +9,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import difference
 from tidemark.operators import mapreduce
+from tidemark.plans import catalog
 from tidemark.sources import objects
 
 
@@ -212,3 +215,16 @@ def test_urls_are_mapped_in_ranges(pool, shelf, monkeypatch):
         assert pool.get_result(futures) == [len(open(f"{shelf}/{n}").read().split()) for n in ("a.txt", "c.txt")]
     finally:
         server.shutdown()
+
+
+def test_reducers_over_many_parts(spark, shelf, monkeypatch):
+    rows = mapreduce.map_reduce_parts(objects.parts(spark, shelf, chunk_size=500), lambda obj: [obj.part, len(obj.data_stream.read().split())], lambda results: str(list(results)), "string")
+    got = {r["path"].rpartition("/")[2]: r["result"] for r in rows.collect()}
+    assert set(got) == {"a.txt", "b b.txt", "c.txt"}
+    for name, said in got.items():
+        found = ast.literal_eval(said)
+        assert [k for k, _ in found] == list(range(-(-os.path.getsize(f"{shelf}/{name}") // 500)))
+        assert sum(n for _, n in found) == len(open(f"{shelf}/{name}").read().split())
+    monkeypatch.setattr(mapreduce.Executor.__init__, "__defaults__", (16, mapreduce.TIMEOUT, 1000))  # as 4 MB of arguments are to many objects
+    sf_dir = "/root/testdata/sf0.001"
+    assert difference(spark, sf_dir, catalog.QUERIES["map_reduce_per_object"], catalog.SQL["map_reduce_per_object"]) == ""

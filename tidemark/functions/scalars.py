@@ -30,6 +30,11 @@ def readable_size(n: Column) -> Column:
     return out
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero, with its sign even where nothing else is left: Spark's ``round`` makes -0.0 a 0.0."""
+    return F.signum(x) * F.round(F.abs(x), digits)
+
+
 def to_base64(x: Column) -> Column:
     return F.base64(x.cast("binary"))
 

@@ -3,11 +3,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.plans import planner
+from tidemark.plans import catalog, planner
 
 RATES = dict(read_bw=40e6, write_bw=30e6, read_ops=2000.0, write_ops=1500.0)
 
@@ -39,6 +40,16 @@ def test_stragglers(spark):
     assert spark.range(1).select(planner.may_repeat(F.lit(5), F.lit(20)), planner.may_repeat(F.lit(4), F.lit(20))).first()[:] == (True, False)
 
 
+def test_tasks_that_have_done_nothing_are_picked_first(spark, tmp_path):
+    df = spark.createDataFrame([(i, p, 50.0, False) for i, p in enumerate([0.01, 0.0, 0.0, 0.02, *[0.9] * 16])], "task int, progress double, elapsed double, repeated boolean")
+    assert [tuple(r) for r in planner.pick_straggler(df).collect()] == [(2, math.inf)]
+    assert [r["task"] for r in planner.pick_straggler(df.filter("progress > 0")).collect()] == [0]
+    events = spark.createDataFrame([(i, v, 30, "click") for i, v in enumerate([4.0, 0.0, 0.0, 8.0, *[360.0] * 16])], "event_id long, value double, user_id long, event_type string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sql = catalog.SQL["straggler_pick"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(r) for r in catalog.QUERIES["straggler_pick"](spark, str(tmp_path)).collect()] == duckdb.sql(sql).fetchall() == [(2, math.inf)]
+
+
 def test_active_calls(spark):
     rng = random.Random(1)
     calls = [(a := rng.uniform(-5, 620), a + rng.uniform(0, 50)) for _ in range(300)]

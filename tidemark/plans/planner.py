@@ -85,14 +85,15 @@ def threshold(newest: Column) -> Column:
 def pick_straggler(tasks: DataFrame, total: int | None = None) -> DataFrame:
     """tasks: task, progress, elapsed, repeated boolean. The task to repeat, if any: the longest left of those in the lowest fifth of progress, after a while, neither finished nor repeated.
 
-    With ``total``, the number of tasks of the job, none is picked before enough of them have reported.
+    A task that has done nothing is infinitely long left. With ``total``, the number of tasks of the job, none is picked before enough of them have reported.
     """
     if total is not None:
         seen = tasks.agg(F.count(F.lit(1)).alias("seen"))
         tasks = tasks.join(F.broadcast(seen.filter(may_repeat(F.col("seen"), F.lit(total))))).drop("seen")
     # one row for each task of a job
     stats = tasks.agg(F.percentile("progress", F.lit(PROGRESS_QUANTILE)).alias("q"), F.max("elapsed").alias("newest"))
-    rows = tasks.join(F.broadcast(stats)).withColumn("left", remaining(F.col("progress"), F.col("elapsed")))
+    p, e = F.col("progress"), F.col("elapsed")
+    rows = tasks.join(F.broadcast(stats)).withColumn("left", F.when(p == 0, F.lit(float("inf"))).otherwise((1 - p) / (p / e)))
     slow = rows.filter((F.col("progress") < F.col("q")) & (F.col("progress") < 1) & ~F.col("repeated") & (F.col("elapsed") >= threshold(F.col("newest"))))
     return slow.agg(F.max_by("task", F.struct("left", "task")).alias("task"), F.max("left").alias("left")).filter("task is not null")
 

@@ -66,6 +66,16 @@ def test_bpe_equals_library():
 CONTRACTED = ["you're", "we've", "they'll", "I'd", "it's", "don't", "the", "house", "'re", "l'été", "d'où", "qu'ils", "rock'n'roll", "x", "--", "!'ve", "'", "''", " ", "\n", "12'll", "é"]
 
 
+def test_kept_pieces_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(chunked_bpe, "KEPT_TEXTS", 100)
+    monkeypatch.setattr(byte_bpe, "_loaded", {})
+    enc, text = chunked_bpe.ChunkEncoder(VOCABULARY), " ".join(f"w{k}x{k * k}" for k in range(2000))
+    assert enc.ids(text) == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert len(enc.bpe.texts) <= 100 and len(enc.bpe.texts.old) <= 100
+
+
 def test_contractions_cut_at_every_byte():
     from tokenizers import Tokenizer
 
@@ -610,6 +620,13 @@ def test_keep_one_links_what_jaccard_links(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == got
 
 
+def test_shared_hashes_are_counted_once(spark):
+    rows = spark.createDataFrame([(1, b"abc", b"abd"), (2, b"abc", b"xyz")], "i int, a binary, b binary")
+    found = rows.select("i", simhash.agreement("a", "b").alias("same")).filter("same >= 2")
+    assert [r[:] for r in found.collect()] == [(1, 2)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_crowds_are_linked_exactly(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)

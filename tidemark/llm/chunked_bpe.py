@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from tidemark.llm import byte_bpe, common
 
 #: Bits of the hash that must vanish at a cut; the least and greatest bytes of a chunk.
 CUT_BITS, LEAST, GREATEST = 10, 256, 8192
-#: Bytes of chunk texts that a worker keeps, and bytes hashed at once.
-KEPT_BYTES, HASHED = 8 << 20, 1 << 20
+#: Bytes of chunk texts and pieces with their ids (in each of two generations) that a worker keeps, and bytes hashed at once.
+KEPT_BYTES, KEPT_TEXTS, HASHED = 4 << 20, 25_000, 1 << 20
 
 _gear = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -81,6 +82,7 @@ def cuts(data: bytes) -> list[int]:
 class ChunkEncoder:
     def __init__(self, vocabulary: str, kept_bytes: int = KEPT_BYTES):
         self.bpe = byte_bpe.load(vocabulary)
+        self.bpe.texts.most = KEPT_TEXTS
         self.kept: dict[bytes, tuple | None] = {}
         self.old: dict[bytes, tuple | None] = {}
         self.held, self.most = 0, kept_bytes // 2
@@ -214,9 +216,12 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     common.text_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.give_back()
         enc = encoder(vocabulary)
-        return pd.DataFrame([enc.digest("" if x is None else x) for x in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in batches:
+            yield pd.DataFrame([enc.digest("" if x is None else x) for x in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        common.give_back()
 
     out = docs.select("doc_id", run("text").alias("out"))
     return out.select("doc_id", "out.n_tokens", "out.ids_sha256", "out.decoded_sha256")

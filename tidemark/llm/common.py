@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.shared import BROADCAST_BYTES, BROADCAST_ROWS, delete, materialise, release, shared_dir, shared_path, small
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "delete", "free_name", "join_small", "least_hashes", "materialise", "release", "shared_dir", "shared_path", "small", "table", "text_batches", "tokenizer_path"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "delete", "free_name", "give_back", "join_small", "least_hashes", "materialise", "release", "shared_dir", "shared_path", "small", "table", "text_batches", "tokenizer_path"]
 
 #: Rows and bytes of text in one Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
@@ -35,6 +37,13 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return to the system what a Python worker's allocators hold but don't use: workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, bytes_each: int = 64) -> DataFrame:
     """Join with a broadcast while ``right`` is small in rows and bytes, else with a shuffle."""
     return left.join(small(right, rows, bytes_each), on, how)

@@ -376,6 +376,10 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((sketches(a) == sketches(b)).sum(1).astype(np.int32))
 
 
+# a filter on it would be pushed below the column and compute it again, in a second Python worker of each task
+agreement = agreement.asNondeterministic()
+
+
 def distinct_sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, row_hash, digest of every row; and of each distinct shingle set: node (its digest), fp, n (its size), text_hash, keys, sketch."""
     common.text_batches(docs.sparkSession)
